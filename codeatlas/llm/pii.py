@@ -224,7 +224,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with the columns pii_base and pii_spans: array<struct<start, kind, end>> in order of start, then kind (its place in KINDS).
 
     pii_spans are the base spans and those that the trees add; an added span never overlaps a base span, and of added ones that
-    overlap, the better scored stays (the earlier, if equal). A null or empty text has none. Whole texts of any length are
+    overlap, the longer stays (the better scored if equal, else the earlier). A null or empty text has none. Whole texts of any length are
     searched. Rows aren't compared: repeated ones get equal spans. Columns of docs that have these names are replaced.
     """
     model = model or Model(docs.sparkSession)
@@ -238,7 +238,8 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def step(acc, x):
         last = F.element_at(acc, -1)
-        kept = F.when(x["score"] > last["score"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc)
+        size, least = x["end"] - x["start"], last["end"] - last["start"]
+        kept = F.when((size > least) | ((size == least) & (x["score"] > last["score"])), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc)
         return F.when(F.size(acc) == 0, F.array(x)).when(last["end"] > x["start"], kept).otherwise(F.concat(acc, F.array(x)))
 
     best = F.transform(F.aggregate(apart, none, step), lambda x: place(x["kind"], x))
