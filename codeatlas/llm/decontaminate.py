@@ -84,6 +84,7 @@ class Index:
         # bands of two widths, each a width after the last: any 2k + 1 neighbouring diagonals lie within one
         keys, counts = np.unique(np.concatenate((window << 32 | band, window << 32 | (band - 1))), return_counts=True)
         good = counts >= self.least[keys >> 32]
+        own = np.repeat(at, n), self.offset[rows], window << 32 | band
         found: dict[int, tuple[int, int, int, int]] = {}
         done: set[int] = set()
         for key in keys[good][np.argsort(-counts[good], kind="stable")].tolist():
@@ -91,6 +92,10 @@ class Index:
             item, w = self.windows[k]
             if k in done or found.get(item, (0, 0, 0, 1))[3] == 0:
                 continue
+            in_band = (own[2] == key) | (own[2] == key + 1)
+            # each q-gram of the window, and each of the text, can be shared only once
+            if min(len(np.unique(own[0][in_band])), len(np.unique(own[1][in_band]))) < self.least[k]:
+                continue
             if (exact := b.find(w)) >= 0:
                 hit = (item, exact, exact + len(w), 0)
             else:
@@ -106,34 +111,35 @@ class Index:
 
 def aligned(w: bytes, b: bytes, start: int, width: int, most: int) -> tuple[int, int, int] | None:
     """Start, end and edits of the best occurrence of w in b on diagonals start .. start + width, if it has at most `most` edits."""
-    got = banded(w, b, start, width, free=True)
-    if got is None or got[1] > most:
+    got = banded(w, b, start, width, most)
+    if got is None:
         return None
     end, edits = got
     # the same backwards from that end gives the start
-    back = banded(w[::-1], b[::-1], len(b) - end - most, 2 * most + 1, free=False, anchor=most)
+    back = banded(w[::-1], b[::-1], len(b) - end - most, 2 * most + 1, most, anchor=most)
     return len(b) - (back[0] if back else len(b) - end + len(w)), end, edits
 
 
-def banded(w: bytes, b: bytes, start: int, width: int, free: bool, anchor: int = 0) -> tuple[int, int] | None:
-    """Least edits of w against b on a band of diagonals, and where that ends; it may begin on any diagonal if free, else on one."""
-    far = np.int64(1 << 30)
-    d = np.arange(width)
-    text = np.full(len(w) + width, -1, np.int64)  # text[i] is b[start + i]
+def banded(w: bytes, b: bytes, start: int, width: int, most: int, anchor: int | None = None) -> tuple[int, int] | None:
+    """Where w's best alignment with b ends and its edits, if they are at most `most`; it begins on any diagonal of the band, or on `anchor`."""
+    far = np.int32(1 << 20)
+    d = np.arange(width, dtype=np.int32)
+    text = np.full(len(w) + width, -1, np.int16)  # text[i] is b[start + i]
     lo, hi = max(0, start), min(len(b), start + len(text))
     if lo >= hi:
         return None
     text[lo - start : hi - start] = np.frombuffer(b[lo:hi], np.uint8)
-    inside = lambda i: (start + i + d >= 0) & (start + i + d <= len(b))
-    row = np.where(inside(0), 0 if free else np.where(d >= anchor, d - anchor, far), far)
+    whole = start >= 0 and start + len(text) <= len(b)
+    bounded = lambda row, i: row if whole else np.where((start + i + d >= 0) & (start + i + d <= len(b)), row, far)
+    row = bounded(np.zeros(width, np.int32) if anchor is None else np.where(d >= anchor, d - anchor, far), 0)
     for i, c in enumerate(w):
         cost = row + (text[i : i + width] != c)
-        cost[:-1] = np.minimum(cost[:-1], row[1:] + 1)
-        cost = np.where(inside(i + 1), cost, far)
-        row = np.minimum.accumulate(cost - d) + d
-        row = np.where(inside(i + 1), row, far)
+        np.minimum(cost[:-1], row[1:] + 1, out=cost[:-1])
+        row = bounded(np.minimum.accumulate(bounded(cost, i + 1) - d) + d, i + 1)
+        if i % 8 == 7 and row.min() > most:
+            return None
     best = int(row.argmin())
-    return (start + len(w) + best, int(row[best])) if row[best] < far else None
+    return (start + len(w) + best, int(row[best])) if row[best] <= most else None
 
 
 def places(text: str) -> np.ndarray:
