@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -12,8 +12,8 @@ from . import common
 WORDS = 4
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Star centres of a bucket in the first round; each later round has this many times as many.
-GROWTH = 8
+#: A bucket of more sets than this that its star leaves in several components is tested in blocks of BLOCK sets.
+SMALL, BLOCK = 8, 128
 CACHE = 500_000
 U = np.uint64
 MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U)
@@ -137,13 +137,56 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their labels, of buckets of three or more that still hold several components."""
+    now = members.filter("n > 2").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    several = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    return now.join(several, "key", "left_semi")
+
+
+def in_blocks(crowds: DataFrame, full: DataFrame) -> DataFrame:
+    """Links between any two of the same crowd (cid, crowd, label) whose labels differ: block against block of at most BLOCK sets or so, as products of incidence matrices.
+
+    The pairs are tested within a task and never become rows; a row is copied once for each block of its crowd.
+    """
+    size = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = crowds.join(size, "crowd").withColumn("own", F.pmod(F.xxhash64(F.lit(8), "cid"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cid", "label", "crowd", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def test(t):
+        x = [np.asarray(v, np.int64) for v in t["hashes"]]
+        label, block, cid = t["label"].to_numpy(), t["own"].to_numpy(), t["cid"].to_numpy()
+        size = np.array([len(v) for v in x], np.int64)
+        row = np.repeat(np.arange(len(x)), size)
+        terms, column = np.unique(np.concatenate(x), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(x), len(x)), np.float32)
+        for at in range(0, len(terms), 8192):
+            lo, hi = np.searchsorted(column, (at, at + 8192))
+            m = np.zeros((len(x), min(8192, len(terms) - at)), np.float32)
+            m[row[lo:hi], column[lo:hi] - at] = 1
+            both += m @ m.T
+        n = both.round().astype(np.int64)
+        near = 100 * n >= 80 * (size[:, None] + size[None, :] - n)
+        near &= (label[:, None] != label[None, :]) & (cid[:, None] < cid[None, :])
+        if t["i"].iloc[0] != t["j"].iloc[0]:
+            near &= block[:, None] != block[None, :]
+        a, b = np.nonzero(near)
+        return type(t)({"a": cid[a], "b": cid[b]})
+
+    return dealt.join(full, "cid").groupBy("crowd", "i", "j").applyInPandas(test, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Nodes are the distinct sets, so exact copies cost one node however many there are. In each bucket the least node is the
-    centre of a star of candidate edges; links are confirmed on full sets. Where a bucket still holds several components,
-    further members become centres, 8 times as many each round, until each bucket is one component or each member was a
-    centre: no pair of a bucket goes untested unless its ends are already connected.
+    centre of a star of candidate edges; links are confirmed on full sets. Buckets that their stars leave in several
+    components are settled exactly: large ones, joined into crowds where they share sets, block against block in
+    `in_blocks`; small ones by the pairs whose ends are in different components and not in one crowd. So no pair of a
+    bucket goes untested unless its ends are already connected.
     A null, empty or blank text has an empty set, no links and is its own component. Repeated rows are copies of each other.
     Other columns of docs are ignored.
     """
@@ -156,29 +199,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     wanted = members.select("cid").distinct().join(classes, "cid").select(F.col("least").alias("doc_id"))
     wanted = common.cut(wanted, "wanted")
-    few = wanted.count() <= common.BROADCAST_ROWS
-    full = common.cut(sets(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")).dropDuplicates(["cid"]), "sets")
+    full = common.cut(sets(common.by_ids(docs, wanted, "left_semi")).dropDuplicates(["cid"]), "sets")
 
     tested = members.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
     edges = common.cut(linked(tested, full), "links")
-    labels, low, ranked = components(edges), 1, None
-    while True:
-        now = (members.select("key", "cid", "n") if ranked is None else ranked.drop("label")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        several = now.filter(F.col("n") > low + 1).groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        now = now.join(several, "key", "left_semi")
-        if ranked is None:
-            now = now.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("cid")) - 1)
-        ranked = common.cut(now, "ranked")
-        if ranked.isEmpty():
-            break
-        high = low * GROWTH
-        centres = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("cid").alias("a"), F.col("rank").alias("at"), F.col("label").alias("of"))
-        pairs = ranked.join(centres, "key").filter((F.col("rank") > F.col("at")) & (F.col("label") != F.col("of"))).select("a", F.col("cid").alias("b")).distinct()
-        more = common.cut(linked(pairs, full), "links")
-        low = high
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
+    labels = components(edges)
+    left = common.cut(unsettled(members, labels), "unsettled")
+    wide = left.filter(F.col("n") > SMALL)
+    crowd = wide.select("cid", "centre").filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+    crowds = components(crowd).withColumnRenamed("label", "crowd")
+    more = common.cut(in_blocks(crowds.join(wide.select("cid", "label").distinct(), "cid"), full), "links")
+    if not more.isEmpty():
+        edges = edges.union(more)
+        labels = components(edges)
+    slim = unsettled(members.filter(F.col("n").between(3, SMALL)), labels).join(crowds, "cid", "left")
+    slim = common.cut(slim.select("key", "cid", "centre", "label", F.coalesce("crowd", "cid").alias("crowd")), "slim")
+    other = slim.filter("cid <> centre").select("key", F.col("cid").alias("a"), F.col("label").alias("of"), F.col("crowd").alias("at"))
+    pairs = slim.filter("cid <> centre").join(other, "key").filter("a < cid and label <> of and crowd <> at").select("a", F.col("cid").alias("b")).distinct()
+    more = common.cut(linked(pairs, full), "links")
+    if not more.isEmpty():
+        labels = components(edges.union(more))
 
     found = classes.select("cid", "least").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = found.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -195,4 +235,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the least doc_id; of rows that repeat it, all stay."""
     gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return common.by_ids(docs, common.cut(gone, "gone"), "left_anti")
