@@ -28,14 +28,10 @@ def method(node: ast.FunctionDef, lines: list[str]) -> dict:
         "body": "\n".join(lines[node.body[0].lineno - 1 : node.end_lineno]),
         "start_line": node.lineno,
         "end_line": node.end_lineno,
-        "callees": [c for s in node.body for c in ([n] if (n := called(s)) else []) + callees(s)],
+        "callees": callees(ast.Module(node.body, [])),
     }
 
 
-def called(node: ast.AST) -> str | None:
-    return None if not isinstance(node, ast.Call) else getattr(node.func, "attr", getattr(node.func, "id", None))
-
-
 def parse(code: str) -> dict:
     """The first class with its assigned names and methods; without a class, the top-level functions."""
     tree, lines = ast.parse(code), code.split("\n")

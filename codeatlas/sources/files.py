@@ -49,7 +49,10 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, de
     if not (local and os.path.isfile(root)):
         found = found.filter(within_depth(F.substring("path", F.lit(len(root) + 2), F.length("path")), depth))
     found = found.filter(included(F.col("path"), extensions))
-    ok = F.is_valid_utf8("content")
-    return found.select(
-        "path", file_name(F.col("path")).alias("file_name"), F.when(ok, F.col("content").cast("string")).alias("content"), F.when(~ok, F.lit("not valid UTF-8")).alias("error")
-    )
+    return decoded(found)
+
+
+def decoded(found: DataFrame) -> DataFrame:
+    """path, file_name, content, error of path and binary content: text, or null and an error if it isn't UTF-8."""
+    ok = F.is_valid_utf8(F.col("content").cast("string"))
+    return found.select("path", file_name(F.col("path")).alias("file_name"), F.when(ok, F.col("content").cast("string")).alias("content"), F.when(~ok, F.lit("not valid UTF-8")).alias("error"))
