@@ -123,7 +123,7 @@ def functions(text: str, flat: str, begin: int, stop: int, code: str, lang: str,
         for m in p.finditer(flat):
             name = m[m.re.groups]
             head = m[1] if p is TYPED_METHOD else ""
-            if name not in KEYWORDS and not (set(head.split()) & {"return", "new", "else", "throw", "case"}):
+            if (p is KEYWORD_METHOD or name not in KEYWORDS) and not (set(head.split()) & {"return", "new", "else", "throw", "case"}):
                 found.setdefault(m.end() - 1, (m.start() + len(m[0]) - len(m[0].lstrip()), name, head))
     for at, (first, name, head) in sorted(found.items()):
         shut = closing(text, begin + at)

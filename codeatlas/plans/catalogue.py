@@ -88,10 +88,10 @@ def vector_zero_norm(spark, d):
     return vectors.with_similarity(own.unionByName(zero), first_vector(spark, d)).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"SELECT vec_id, round(sqrt({DOT.format('embedding', 'embedding')}) / CASE WHEN sqrt({DOT.format('embedding', 'embedding')}) = 0 THEN 1 ELSE sqrt({DOT.format('embedding', 'embedding')}) END, 4) AS n1, round(embedding[1] / sqrt({DOT.format('embedding', 'embedding')}), 5) AS v1 FROM embeddings")
+@query(f"SELECT vec_id, round(sqrt({DOT.format('embedding', 'embedding')}) / CASE WHEN sqrt({DOT.format('embedding', 'embedding')}) = 0 THEN 1 ELSE sqrt({DOT.format('embedding', 'embedding')}) END, 4) AS n1, round(embedding[1] / sqrt({DOT.format('embedding', 'embedding')}), 3) + 0.0 AS v1 FROM embeddings")
 def vector_normalize(spark, d):
     unit = embeddings(spark, d).select("vec_id", fv.normalized(F.col("embedding")).alias("v"))
-    return unit.select("vec_id", F.round(F.sqrt(fv.dot(F.col("v"), F.col("v"))), 4).alias("n1"), F.round(F.col("v")[0].cast("double"), 5).alias("v1"))
+    return unit.select("vec_id", F.round(F.sqrt(fv.dot(F.col("v"), F.col("v"))), 4).alias("n1"), (F.round(F.col("v")[0].cast("double"), 3) + 0.0).alias("v1"))
 
 
 @query("SELECT count(*) AS cnt FROM embeddings")
