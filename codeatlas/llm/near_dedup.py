@@ -124,17 +124,31 @@ def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """cid, label (least cid that it reaches) for every end of an edge: least label of the neighbours, then label of the label, until nothing changes."""
-    both = common.cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = common.cut(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["cid"]).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["cid"] == near["a"]).select("cid", "label", F.least("label", "near").alias("low"))
-        up = labels.select(F.col("cid").alias("low"), F.col("label").alias("of_low"))
-        moved = common.cut(low.join(up, "low").select("cid", F.col("label").alias("was"), F.least("low", "of_low").alias("label")), "labels")
-        labels = moved.select("cid", "label")
-        if moved.filter("label <> was").isEmpty():
-            return labels
+    """cid, label (least cid that it reaches) for every end of an edge a, b.
+
+    Each node hooks to its least lesser neighbour, the trees are flattened by doubling, and the edges are contracted to edges
+    between roots, until none is left: edges are joined while they are many only once.
+    """
+    pairs = common.cut(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "pairs")
+    labels = common.cut(pairs.select(F.explode(F.array("low", "high")).alias("cid")).distinct().withColumn("label", F.col("cid")), "labels")
+    while not pairs.isEmpty():
+        up = common.cut(pairs.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("root")), "hooks")
+        while True:
+            on = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            flat = common.cut(up.join(on, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "hooks")
+            up = flat.select("node", "root")
+            if flat.filter("moved").isEmpty():
+                break
+        root = lambda df, name: df.join(up.select(F.col("node").alias(name), F.col("root").alias("r")), name, "left").withColumn(name, F.coalesce("r", name)).drop("r")
+        labels = common.cut(root(labels, "label"), "labels")
+        pairs = root(root(pairs, "low"), "high").filter("low <> high")
+        pairs = common.cut(pairs.select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct(), "pairs")
+    return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links."""
+    return components(labels.filter("cid <> label").select(F.col("cid").alias("a"), F.col("label").alias("b")).unionByName(links))
 
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -202,23 +216,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = common.cut(sets(common.by_ids(docs, wanted, "left_semi")).dropDuplicates(["cid"]), "sets")
 
     tested = members.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
-    edges = common.cut(linked(tested, full), "links")
-    labels = components(edges)
+    labels = components(linked(tested, full))
     left = common.cut(unsettled(members, labels), "unsettled")
     wide = left.filter(F.col("n") > SMALL)
     crowd = wide.select("cid", "centre").filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
     crowds = components(crowd).withColumnRenamed("label", "crowd")
     more = common.cut(in_blocks(crowds.join(wide.select("cid", "label").distinct(), "cid"), full), "links")
     if not more.isEmpty():
-        edges = edges.union(more)
-        labels = components(edges)
+        labels = joined(labels, more)
     slim = unsettled(members.filter(F.col("n").between(3, SMALL)), labels).join(crowds, "cid", "left")
     slim = common.cut(slim.select("key", "cid", "centre", "label", F.coalesce("crowd", "cid").alias("crowd")), "slim")
     other = slim.filter("cid <> centre").select("key", F.col("cid").alias("a"), F.col("label").alias("of"), F.col("crowd").alias("at"))
     pairs = slim.filter("cid <> centre").join(other, "key").filter("a < cid and label <> of and crowd <> at").select("a", F.col("cid").alias("b")).distinct()
     more = common.cut(linked(pairs, full), "links")
     if not more.isEmpty():
-        labels = components(edges.union(more))
+        labels = joined(labels, more)
 
     found = classes.select("cid", "least").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = found.groupBy("label").agg(F.min("least").alias("component_id"))
