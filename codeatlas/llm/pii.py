@@ -83,8 +83,8 @@ def of(f, kind):
 def valid(kind: str, x: Column) -> Column:
     hit = x["hit"]
     if kind == "ip":
-        part = lambda p: F.length(p) - F.length(F.ltrim(F.lit("0"), p))
-        small = lambda p: (F.length(p) - part(p) <= 3) & (F.coalesce(F.substring(p, -3, 3).cast("int"), F.lit(0)) <= 255)
+        bare = lambda p: F.ltrim(p, F.lit("0"))
+        small = lambda p: (F.length(bare(p)) < 3) | ((F.length(bare(p)) == 3) & (bare(p) <= "255"))
         return F.forall(F.split(hit, r"\."), small)
     n = F.length(digits(hit))
     if kind == "card":
