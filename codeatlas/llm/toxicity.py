@@ -86,7 +86,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     model = Model(kept, [float(t) for t in thresholds], 0.0)
     score = np.array([model.severity(set(t))[0] for t, _ in data])
     part = test if y[test].any() else np.ones(len(y), bool)
-    return Model(kept, model.thresholds, best_cut(score[part], y[part]))
+    # a text without any weighted term is never toxic
+    return Model(kept, model.thresholds, max(best_cut(score[part], y[part]), model.severity(set())[0] + 1e-6))
 
 
 def cumulative_logit(row, column, grade, n_terms, use) -> tuple[np.ndarray, np.ndarray]:
