@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from codeatlas.shared import cut
+
+__all__ = ["BROADCAST_ROWS", "by_batch", "by_ids", "cut", "slices", "table"]
 
 #: A set of ids or hashes is broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
@@ -18,27 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (one machine only) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="codeatlas-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs neither recompute it nor need the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """left_semi or left_anti join on doc_id; ids is broadcast if it has at most BROADCAST_ROWS rows, else both are shuffled."""
     few = ids.count() <= BROADCAST_ROWS
@@ -47,9 +30,6 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def by_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over lists: make() runs once a task and returns the function from a batch's columns to the new columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
