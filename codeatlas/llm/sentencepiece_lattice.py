@@ -23,8 +23,10 @@ SPACE = "▁"
 #: Longest piece, and longest word that is folded in one state word; longer ones without a seam are cut there.
 MAX_PIECE, MAX_WORD = 16, 48
 #: Words whose ids are broadcast, at most: the most frequent. All others are joined.
-HOT_WORDS = 500_000
-FLUSH = 400_000
+HOT_WORDS = 300_000
+FLUSH = 200_000
+#: Words of a task whose edges are grouped in memory; a task with more sorts them.
+GROUPED = 500_000
 LOW = (1 << 6) - 1
 #: Codes in a document's word list: words of the broadcast table from 0; -1 - c for a code point c without a piece; below that the document's own rare words.
 RARE = -1 - 0x110000
@@ -113,12 +115,13 @@ def shifted(x: Column | int, by: Column) -> Column:
     return F.call_function("shiftleft", F.lit(x).cast("long") if isinstance(x, int) else x, by.cast("int"))
 
 
-def merged(edges: Column, size: Column) -> Column:
-    """Final edges of a BPE model, in order of their place. An edge is order << 12 | start << 6 | length.
+def merged(word: Column, edges: Column) -> Column:
+    """Final pieces of a BPE model: the order of each, or -1 - c for a single character c. An edge is order << 12 | start << 6 | length.
 
     The state has a bit for each boundary. Edges come best first; one is applied if both its ends are boundaries and exactly
     one lies between them: then its halves are pieces, and it is the best merge that is left.
     """
+    size = F.length(word)
     start = lambda e: F.shiftright(e, 6).bitwiseAND(LOW)
     end = lambda e: start(e) + e.bitwiseAND(LOW)
     ends = lambda e: shifted(1, start(e)).bitwiseOR(shifted(1, end(e)))
@@ -129,9 +132,15 @@ def merged(edges: Column, size: Column) -> Column:
         return F.when(fits, b - b.bitwiseAND(inner(e))).otherwise(b)
 
     bounds = F.aggregate(F.array_sort(edges), shifted(1, size + 1) - 1, step)
-    kept = F.transform(F.array(bounds), lambda b: F.filter(edges, lambda e: (b.bitwiseAND(ends(e)) == ends(e)) & (b.bitwiseAND(inner(e)) == 0)))
-    by_place = F.array_sort(F.transform(kept[0], lambda e: F.struct(start(e).alias("start"), F.shiftright(e, 12).cast("int").alias("order"))))
-    return F.transform(by_place, lambda x: x["order"])
+
+    def pieces(b):
+        kept = F.filter(edges, lambda e: (e.bitwiseAND(LOW) > 1) & (b.bitwiseAND(ends(e)) == ends(e)) & (b.bitwiseAND(inner(e)) == 0))
+        long = F.transform(kept, lambda e: F.struct(start(e).cast("int").alias("start"), F.shiftright(e, 12).cast("int").alias("order")))
+        places = F.filter(F.sequence(F.lit(0), size - 1), lambda i: b.bitwiseAND(shifted(3, i)) == shifted(3, i))
+        single = F.transform(places, lambda i: F.struct(i.alias("start"), (-1 - F.ascii(F.substring(word, i + 1, F.lit(1)))).alias("order")))
+        return F.transform(F.array_sort(F.concat(long, single)), lambda x: x["order"])
+
+    return F.transform(F.array(bounds), pieces)[0]
 
 
 def viterbi(edges: Column, size: Column, scores: Column) -> Column:
@@ -160,32 +169,48 @@ def lattice(found: DataFrame, v: Vocabulary) -> DataFrame:
     """found (word, ...) with path: the orders of each word's pieces. Rows stay where they are: the words are grouped as they were dealt."""
     spark = found.sparkSession
     pieces = spark.createDataFrame(pa.table({"piece": [p for p, _, _ in v.pieces], "order": pa.array(range(len(v.pieces)), pa.int64())}))
-    size = F.length("word")
-    spans = F.transform(
-        F.sequence(F.lit(0), size - 1),
-        lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_PIECE), size - s)), lambda n: F.struct((s * 64 + n).alias("at"), F.substring("word", s + 1, n).alias("piece"))),
-    )
-    edges = found.withColumn("x", F.explode(F.flatten(spans))).select(*found.columns, "x.at", "x.piece")
+    size, least = F.length("word"), 2 if v.kind == "bpe" else 1
+    edges = found.withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
+    # the single character at the start keeps words without longer pieces
+    lengths = F.sequence(F.when(F.col("s") == 0, 1).otherwise(F.lit(least)), F.least(F.lit(MAX_PIECE), F.length("word") - F.col("s")))
+    edges = edges.filter(F.length("word") - F.col("s") >= F.when(F.col("s") == 0, 1).otherwise(F.lit(least))).withColumn("m", F.explode(lengths))
+    edges = edges.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("m")))
     small = len(v.pieces) <= common.BROADCAST_ROWS
     edges = edges.join(F.broadcast(pieces) if small else pieces, "piece")
-    edge = (F.col("order") * 4096 + F.col("at")).alias("edge")
+    edge = (F.col("order") * 4096 + F.col("s") * 64 + F.col("m")).alias("edge")
     grouped = edges.groupBy(*found.columns).agg(F.collect_list(edge).alias("edges"))
     if v.kind == "bpe":
-        path = merged(F.col("edges"), size)
+        path = merged(F.col("word"), F.col("edges"))
     else:
         path = viterbi(F.col("edges"), size, F.array(*(F.lit(float(s)) for _, _, s in v.pieces)))
     return grouped.select(*found.columns, path.alias("path"))
 
 
+class Pieces:
+    """Ids of a path's numbers: orders of pieces, and -1 - c for a character c."""
+
+    def __init__(self, v: Vocabulary):
+        self.ids = np.array([i for _, i, _ in v.pieces], np.int32)
+        order = {p: k for k, (p, _, _) in enumerate(v.pieces)}
+        self.single = np.zeros(0x110000, np.int32)
+        self.single[[ord(c) for c in v.chars]] = [self.ids[order[c]] for c in v.chars]
+
+    def of(self, path: np.ndarray) -> np.ndarray:
+        out = self.ids[np.maximum(path, 0)]
+        low = path < 0
+        out[low] = self.single[-1 - path[low]]
+        return out
+
+
 class Table:
-    """Words with their ids, for workers: dict from word to row, and the ids of all rows end to end."""
+    """Words for workers, and the ids of all of them end to end."""
 
-    def __init__(self, rows: pa.Table, ids: np.ndarray):
+    def __init__(self, rows: pa.Table, pieces: Pieces):
         rows = rows.combine_chunks()
         self.words = rows.column("word").to_pylist()
         paths = rows.column("path").combine_chunks()
         self.start = paths.offsets.to_numpy().astype(np.int64) if len(rows) else np.zeros(1, np.int64)
-        self.ids = ids[paths.values.to_numpy()] if len(rows) else np.zeros(0, np.int32)
+        self.ids = pieces.of(paths.values.to_numpy()) if len(rows) else np.zeros(0, np.int32)
 
 
 class Codes(dict):
@@ -250,7 +275,13 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
     v = v or Vocabulary()
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("row"))
-    found = common.cut(lattice(words(docs, v), v), "words")
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(GROUPED))
+    try:
+        found = common.cut(lattice(words(docs, v), v), "words")
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     # the least count that at most hot_words words reach
     least, total = 1, 0
     for r in sorted(found.groupBy("n").count().collect(), reverse=True):
@@ -258,18 +289,17 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
         if total > hot_words:
             least = r["n"] + 1
             break
-    ids = np.array([i for _, i, _ in v.pieces], np.int32)
     buffer = io.BytesIO()
     hot = found.filter(F.col("n") >= least).select("word", "path").toArrow()
     with pa.ipc.new_stream(buffer, hot.schema) as out:
         out.write_table(hot)
-    sent = spark.sparkContext.broadcast((v, ids, buffer.getvalue()))
+    sent = spark.sparkContext.broadcast((v, buffer.getvalue()))
     del hot
 
     def opened():
-        v, ids, raw = sent.value
-        splitter, table = Splitter(v), Table(pa.ipc.open_stream(raw).read_all(), ids)
-        return v, ids, splitter, table
+        v, raw = sent.value
+        pieces = Pieces(v)
+        return v, pieces, Splitter(v), Table(pa.ipc.open_stream(raw).read_all(), pieces)
 
     def rare(batches):
         v, _, splitter, table = opened()
@@ -278,7 +308,7 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
             for part in common.slices(batch):
                 rows, out = [], []
                 for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = [w for w in set(splitter.split(text)) - codes.keys() if splitter.known(w)]
+                    own = [w for w in set(splitter.split(text)) if w not in codes and splitter.known(w)]
                     rows += [row] * len(own)
                     out += own
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(out, pa.string())], ["row", "word"])
@@ -302,7 +332,7 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.int64()), strict=True)], names)
 
     def filled(batches):
-        v, ids, _, table = opened()
+        v, pieces, _, table = opened()
         decoder, unpack = Decoder(v), zstandard.ZstdDecompressor()
         names = ["doc_id", "ids", "n_pieces", "round_trip"]
         for batch in batches:
@@ -311,7 +341,7 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
                 for doc, raw, own, digest, got in zip(*(part.column(n).to_pylist() for n in ("doc_id", "codes", "rare", "digest", "found")), strict=True):
                     code = np.frombuffer(unpack.decompress(raw), np.int32)
                     path = {x["word"]: x["path"] for x in got or ()}
-                    special = {RARE - k: ids[path[w]] for k, w in enumerate(own)}
+                    special = {RARE - k: pieces.of(np.array(path[w], np.int64)) for k, w in enumerate(own)}
                     for c in {c for c in np.unique(code[(code < 0) & (code > RARE)]).tolist()}:
                         special[c] = np.array([v.byte_ids[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")], np.int32)
                     x = ids_of(code, table, special)
