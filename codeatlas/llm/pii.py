@@ -220,10 +220,10 @@ def place(kind: Column | int, x: Column) -> Column:
     return F.struct(x["start"].alias("start"), kind.cast("int").alias("kind"), x["end"].alias("end"))
 
 
-def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with the columns pii_base and pii_spans: array<struct<start, kind, end>> in order of start, then kind (its place in KINDS).
+def find(docs: DataFrame, model: Model | None = None, names: tuple[str, str] = ("pii_base", "pii_spans")) -> DataFrame:
+    """docs with the base spans and all spans, in columns of those names: array<struct<start, kind, end>> in order of start, then kind (its place in KINDS).
 
-    pii_spans are the base spans and those that the trees add; an added span never overlaps a base span, and of added ones that
+    All spans are the base spans and those that the trees add; an added span never overlaps a base span, and of added ones that
     overlap, the longer stays (the better scored if equal, else the earlier). A null or empty text has none. Whole texts of any length are
     searched. Rows aren't compared: repeated ones get equal spans. Columns of docs that have these names are replaced.
     """
@@ -232,9 +232,9 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     base = F.array_sort(F.concat(*(F.transform(v, of(place, KINDS.index(k))) for k, v in base_spans(text).items())))
     scored = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), model.score(x).alias("score"))
     more = F.filter(F.transform(candidates(text), scored), lambda x: model.enough(x, x["score"]))
-    out = docs.withColumn("pii_base", base).withColumn("pii_spans", F.array_sort(more))
-    apart = F.filter("pii_spans", lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    none = F.filter("pii_spans", lambda x: F.lit(False))
+    out = docs.withColumn(names[0], base).withColumn(names[1], F.array_sort(more))
+    apart = F.filter(names[1], lambda x: ~F.exists(names[0], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    none = F.filter(names[1], lambda x: F.lit(False))
 
     def step(acc, x):
         last = F.element_at(acc, -1)
@@ -243,7 +243,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return F.when(F.size(acc) == 0, F.array(x)).when(last["end"] > x["start"], kept).otherwise(F.concat(acc, F.array(x)))
 
     best = F.transform(F.aggregate(apart, none, step), lambda x: place(x["kind"], x))
-    return out.withColumn("pii_spans", F.array_sort(F.concat("pii_base", best)))
+    return out.withColumn(names[1], F.array_sort(F.concat(names[0], best)))
 
 
 def listed(spans: Column) -> Column:
@@ -273,6 +273,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its spans are redacted and n_chars follows."""
-    found = find(docs).withColumn("pii_text", redacted(F.col("text"), F.col("pii_spans")))
-    n = F.when(F.size("pii_spans") > 0, F.length("pii_text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"n_chars": n, "text": F.col("pii_text")}).select(docs.columns)
+    base, spans, text = (n + "_" * max(len(c) for c in docs.columns) for n in ("base", "spans", "text"))  # longer than any own name
+    found = find(docs, names=(base, spans)).withColumn(text, redacted(F.col("text"), F.col(spans)))
+    n = F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"n_chars": n, "text": F.col(text)}).select(docs.columns)

@@ -51,9 +51,9 @@ def test_added_spans(spark, text, kind):
 
 
 def test_redaction(spark):
-    docs = documents(spark, ["mail a@b.co or 10.0.0.1!", "\U0001f600 a@b.co", "nothing", None], extra=True)
+    docs = documents(spark, ["mail a@b.co or 10.0.0.1!", "\U0001f600 a@b.co", "nothing", None], extra=True).selectExpr("*", "'own' as pii_base", "'own' as text_")
     kept = pii.stage(spark, docs, "")
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.filter("pii_base = 'own' and text_ = 'own'").count() == 4
     assert by_id(kept, "text", "n_chars") == {1: ("mail [EMAIL] or [IP]!", 21), 2: ("\U0001f600 [EMAIL]", 9), 3: ("nothing", 7), 4: (None, 0)}
 
 
