@@ -1,7 +1,7 @@
 """The training corpus: documents through language ID, near-dedup, decontamination, PII redaction and encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
-documents. No stage needs two tables in SQL's terms alone, so there is no oracle; tests hold each against brute force.
+documents. There is no SQL for them; tests hold each stage against its operator, and each operator against brute force.
 """
 
 from __future__ import annotations
