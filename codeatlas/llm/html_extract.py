@@ -16,8 +16,9 @@ MIN_PAGES, LEAST_IMPORTANCE = 3, 0.3
 #: A hot host's pages are dealt over so many copies of its list of nodes.
 SALTS = 32
 TOKEN = re.compile(
-    r"(?s)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|select|button|object|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][a-z0-9:-]*)([^<>]*)>|<[!?/][^>]*>|[^<]+|<",
+    r"(?s)<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<box>noscript|template|iframe|svg|math|select|button|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?</(?P=box)\s*>"
+    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<own>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:-]*)(?P<own2>[^<>]*)>|<[!?/][^>]*>|[^<]+|<",
     re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -25,10 +26,10 @@ SPACES = re.compile(r"[ \t\n\r\f\v\xa0 -     　\x85]+")
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a start tag of the named kind ends, if they are open.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"body": {"head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("table ul ol dl article section main body div td th nav aside".split())
 #: Presentation that is no part of an article, whatever its content.
-NOISE_TAGS = set("nav footer aside form menu dialog".split())
+NOISE_TAGS = set("nav footer aside form menu dialog head noscript template iframe svg math select button object".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NOISE_WORDS = re.compile(
     r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|masthead|topbar|toolbar|cookie\w*|consent|gdpr|notice\w*|"
@@ -60,7 +61,7 @@ class Page:
             if text[0] != "<" or len(text) == 1:
                 self.parts.append(text)
                 continue
-            name = (m[3] or m[6] or "").lower()
+            name = (m["name"] or m["name2"] or "").lower()
             if not name:
                 continue
             if name in INLINE:
@@ -70,10 +71,10 @@ class Page:
                 self.parts.append(" ")
                 continue
             self.flush()
-            if m[2] or m[5]:
+            if m["end"] or m["end2"]:
                 self.close(name)
             elif name not in VOID:
-                self.start(name, m[4] if m[3] else m[7])
+                self.start(name, m["own"] or m["own2"] or "")
         self.flush()
 
     def flush(self) -> None:

@@ -38,6 +38,11 @@ def test_alike_articles_stay(spark):
     assert set(texts(spark, [page.format(i) for i in range(5)], {i: "http://s.org/" for i in range(5)}).values()) == {"same text"}
 
 
+def test_tags_that_are_never_closed(spark):
+    pages = ["<head><meta charset=x><body><p>in", "<div><button>send</div><p>after", "<svg><title>t</title><text>no</text></svg><p>yes", "<p>a<script>b</p>"]
+    assert texts(spark, pages) == {0: "in", 1: "after", 2: "yes", 3: "a"}
+
+
 def test_odd_pages(spark):
     pages = [None, "", "   ", "plain text only", "<p>a < b and c<d <", '<p title="a>b">x</p>', "<div>" * 5000 + "deep" + "</div>" * 5000, "<p>" + "long " * 50_000, "<!-- open", "<script>never closed", "</p></div>ok", "<p>\x00&#0;&unknown;&amp"]
     got = texts(spark, pages, {0: None, 3: "not a url"})
