@@ -80,7 +80,7 @@ def lexicon(docs: DataFrame) -> np.ndarray:
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(n[at[k : k + (1 << 16)]])], ["slot", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = common.mapped(docs.select("text"), run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
     most = max(MIN_DOCS, int(MAX_SHARE * docs.count()))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)))
     words = counts.filter(F.col("n").between(MIN_DOCS, most)).groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits"))
@@ -102,7 +102,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     after = spark.createDataFrame([(tops[k - 1][1], p) for k, (p, _) in enumerate(tops)], "top long, to int")
     copied = docs.join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("top"))).select(F.col("to").alias("part"), F.lit(1).alias("peek"), "doc_id", "text")
     rows = docs.select("part", F.lit(0).alias("peek"), "doc_id", "text").union(copied)
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "peek", F.desc("doc_id"), "text")
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "peek", F.desc("doc_id"), "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds, strict=True)], names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs).mapInArrow(run, schema) if not docs.isEmpty() else docs.sparkSession.createDataFrame([], schema)
+    return common.mapped(in_order(docs), run, schema) if not docs.isEmpty() else docs.sparkSession.createDataFrame([], schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
