@@ -8,7 +8,7 @@ from pathlib import Path
 from typing import Any
 
 FILE_NAME = "config.yaml"
-DEFAULT_HOME = "~/.code-semi-graph"
+DEFAULT_HOME = "~/.codeatlas"
 #: Of a fresh configuration (fixed values).
 DEFAULT_MODEL, DEFAULT_BATCH, DEFAULT_TOP_K = "mock", 32, 5
 
