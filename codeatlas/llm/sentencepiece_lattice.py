@@ -6,30 +6,30 @@ each word's lattice to its best path: Viterbi over the piece scores for a unigra
 
 from __future__ import annotations
 
-import io
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .near_dedup import mixed
 
 #: A public model: BPE with byte fallback, identity normalisation, a space put before the text.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Longest piece, and longest word that is folded in one state word; longer ones without a seam are cut there.
 MAX_PIECE, MAX_WORD = 16, 48
-#: Words whose ids are broadcast, at most: the most frequent. All others are joined.
-HOT_WORDS = 300_000
-FLUSH = 200_000
+#: Words whose ids are broadcast, at most: the most frequent (about 20 bytes each). All others are joined.
+HOT_WORDS = 4_000_000
+#: Distinct words that a task counts before it passes them on, and bytes of text that it takes at once.
+FLUSH, SLICE = 250_000, 1 << 20
 #: Words of a task whose edges are grouped in memory; a task with more sorts them.
 GROUPED = 500_000
 LOW = (1 << 6) - 1
-#: Codes in a document's word list: words of the broadcast table from 0; -1 - c for a code point c without a piece; below that the document's own rare words.
-RARE = -1 - 0x110000
+#: Base of the words' polynomial hash.
+BASE = 0x9E3779B97F4A7C15
 
 
 class Vocabulary:
@@ -61,6 +61,22 @@ class Vocabulary:
         return {i: bytes([b]) for b, i in self.byte_ids.items()} | {i: p.encode() for p, i, _ in self.pieces}
 
 
+@dataclass
+class Words:
+    """The words of several texts end to end in one string: bounds (one more than words), hashes, whether a word is a
+    character without a piece, and the words before each text and after the last."""
+
+    string: str
+    codes: np.ndarray
+    bounds: np.ndarray
+    hashes: np.ndarray
+    lone: np.ndarray
+    of_text: np.ndarray
+
+    def word(self, i: int) -> str:
+        return self.string[self.bounds[i] : self.bounds[i + 1]]
+
+
 class Splitter:
     """Cuts texts wherever no piece holds both neighbours, so that no piece is lost; a character without a piece stands alone."""
 
@@ -70,45 +86,63 @@ class Splitter:
         self.at[[ord(c) for c in v.chars]] = np.arange(1, self.n)
         self.joined = np.zeros(self.n * self.n, bool)
         self.joined[v.pairs] = True
-
-    def split(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        s = SPACE + text.replace(" ", SPACE)
-        k = self.at[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = np.flatnonzero(~self.joined[k[:-1] * self.n + k[1:]]) + 1
-        cuts = [0, *ends.tolist(), len(s)]
-        if np.diff(cuts).max() > MAX_WORD:
-            cuts = sorted({*cuts, *(c for a, b in zip(cuts, cuts[1:]) for c in range(a, b, MAX_WORD))})
-        return [s[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def known(self, word: str) -> bool:
-        return len(word) > 1 or self.at[ord(word)] > 0
+        self.powers = np.zeros((2, 0), np.uint64)
+
+    def split(self, texts: list[str | None]) -> Words:
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        s = "".join(marked)
+        codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.concatenate(([0], np.cumsum([len(m) for m in marked], dtype=np.int64)))
+        k = self.at[codes]
+        cut = np.ones(len(s) + 1, bool)
+        cut[1:-1] = ~self.joined[k[:-1] * self.n + k[1:]] if len(s) else True
+        cut[ends] = True
+        bounds = np.flatnonzero(cut)
+        for a, b in zip(*(bounds[i : len(bounds) - 1 + i][np.diff(bounds) > MAX_WORD].tolist() for i in (0, 1)), strict=True):
+            cut[a:b:MAX_WORD] = True
+        bounds = np.flatnonzero(cut)
+        if not len(s):
+            bounds = np.zeros(1, np.int64)
+        lone = (np.diff(bounds) == 1) & (k[bounds[:-1]] == 0) if len(s) else np.zeros(0, bool)
+        return Words(s, codes, bounds, self.hashes(codes, bounds), lone, np.searchsorted(bounds, ends))
+
+    def hashes(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the runs of codes between bounds, from sums of code times power that all runs share."""
+        if self.powers.shape[1] <= len(codes):
+            grow = lambda x: np.concatenate((np.ones(1, np.uint64), np.multiply.accumulate(np.full(len(codes) + (1 << 18), x, np.uint64))))
+            self.powers = np.stack((grow(BASE), grow(pow(BASE, -1, 1 << 64))))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.powers[0, : len(codes)], dtype=np.uint64)))
+        return mixed((sums[bounds[1:]] - sums[bounds[:-1]]) * self.powers[1, bounds[:-1]])
 
 
 def words(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """word, n: the distinct words of all texts and how often they occur."""
+    """word, n: the distinct words of all texts, but for characters without a piece, and how often they occur."""
     sent = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches):
-        from collections import Counter
-
-        splitter, seen = Splitter(sent.value), Counter()
+        splitter, names, counts = Splitter(sent.value), {}, {}
 
         def out():
-            own = [w for w in seen if splitter.known(w)]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([seen[w] for w in own], pa.int64())], ["word", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(list(names.values()), pa.string()), pa.array([counts[h] for h in names], pa.int64())], ["word", "n"])
+            names.clear()
+            counts.clear()
+            return batch
 
         for batch in batches:
-            for part in common.slices(batch):
-                for text in part.column(0).to_pylist():
-                    seen.update(splitter.split(text))
-                    if len(seen) > FLUSH:
-                        yield out()
-                        seen.clear()
+            for part in common.slices(batch, SLICE):
+                w = splitter.split(part.column(0).to_pylist())
+                own, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
+                known = ~w.lone[first]
+                for h, i, c in zip(own[known].tolist(), first[known].tolist(), n[known].tolist(), strict=True):
+                    if h in counts:
+                        counts[h] += c
+                    else:
+                        counts[h], names[h] = c, w.word(i)
+                if len(names) > FLUSH:
+                    yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return common.mapped(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def shifted(x: Column | int, by: Column) -> Column:
@@ -203,49 +237,68 @@ class Pieces:
 
 
 class Table:
-    """Words for workers, and the ids of all of them end to end."""
-
-    def __init__(self, rows: pa.Table, pieces: Pieces):
-        rows = rows.combine_chunks()
-        self.words = rows.column("word").to_pylist()
-        paths = rows.column("path").combine_chunks()
-        self.start = paths.offsets.to_numpy().astype(np.int64) if len(rows) else np.zeros(1, np.int64)
-        self.ids = pieces.of(paths.values.to_numpy()) if len(rows) else np.zeros(0, np.int32)
-
+    """Ids of words by hash: sorted hashes, and each word's run of ids in one array. Made of rows hash, ids."""
 
-class Codes(dict):
-    """Code of a word of the table or of a character without a piece; other words have none yet."""
+    def __init__(self, rows: pa.Table):
+        hashes = rows.column("hash").to_numpy().view(np.uint64)
+        lists = pa.concat_arrays(rows.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))])
+        start, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        order = np.argsort(hashes)
+        self.hashes, self.size = hashes[order], np.diff(start)[order].astype(np.uint8)
+        self.ids = gathered(start[:-1][order], np.diff(start)[order], ids).astype(np.min_scalar_type(int(ids.max(initial=0))))
 
-    def __init__(self, known: list[str], splitter: Splitter):
-        super().__init__(zip(known, range(len(known))))
-        self.splitter = splitter
+    def starts(self) -> np.ndarray:
+        return (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.int32)
 
-    def __missing__(self, word: str) -> int:
-        return RARE if self.splitter.known(word) else -1 - ord(word)
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash; -1 if it isn't there."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
 
 
 def gathered(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The runs flat[start : start + size], end to end."""
+    size = size.astype(np.int64)
     at = np.cumsum(size) - size
     return flat[np.repeat(start - at, size) + np.arange(int(size.sum()))]
 
 
-def ids_of(codes: np.ndarray, table: Table, special: dict[int, np.ndarray]) -> np.ndarray:
-    """Ids of a document's word codes; special has the runs of the negative codes."""
-    names, local = np.unique(codes[codes < 0], return_inverse=True)
-    runs = [special[c] for c in names.tolist()]
-    size = np.empty(len(codes), np.int64)
-    hot = codes >= 0
-    size[hot] = table.start[codes[hot] + 1] - table.start[codes[hot]]
-    own = np.array([len(r) for r in runs], np.int64)
-    size[~hot] = own[local]
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.int32)
-    place = lambda which: np.repeat(at[which] - (np.cumsum(size[which]) - size[which]), size[which]) + np.arange(int(size[which].sum()))
-    out[place(hot)] = gathered(table.start[codes[hot]], size[hot], table.ids)
-    if runs:
-        out[place(~hot)] = gathered((np.cumsum(own) - own)[local], size[~hot], np.concatenate(runs))
-    return out
+class Encoder:
+    """Ids of texts from the table's words, the given rare words, and the bytes of characters without a piece."""
+
+    def __init__(self, v: Vocabulary, table: Table):
+        self.splitter, self.pieces, self.table, self.start = Splitter(v), Pieces(v), table, table.starts()
+        self.bytes = np.array([v.byte_ids.get(b, 0) for b in range(256)], np.int32)
+        self.decoder = Decoder(v)
+
+    def encode(self, texts: list[str | None], rare: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """Offsets of each text's ids, all ids end to end, and whether decoding them gives the texts back."""
+        w = self.splitter.split(texts)
+        own, first, at = np.unique(w.hashes, return_index=True, return_inverse=True)
+        row = self.table.rows(own)
+        more = np.flatnonzero(row < 0)
+        # runs that the table hasn't got: bytes of characters, and rare words
+        runs = [self.bytes[list(w.word(i).encode("utf-8", "surrogatepass"))] if w.lone[i] else self.pieces.of(np.array(rare[w.word(i)], np.int64)) for i in first[more].tolist()]
+        extra = np.array([len(r) for r in runs], np.int64)
+        size, start = self.table.size[row].astype(np.int64) if len(self.table.hashes) else np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        if len(self.table.hashes):
+            start[:] = self.start[row]
+        size[more] = extra
+        flat = gathered(start[row >= 0], size[row >= 0], self.table.ids).astype(np.int32)
+        place = np.zeros(len(row), np.int64)
+        place[row >= 0] = np.cumsum(size[row >= 0]) - size[row >= 0]
+        place[more] = len(flat) + np.cumsum(extra) - extra
+        flat = np.concatenate((flat, *runs))
+        ids = gathered(place[at], size[at], flat)
+        ends = np.concatenate(([0], np.cumsum(size[at])))[w.of_text]
+        return ends, ids, self.same(w.string, texts, ends, ids)
+
+    def same(self, string: str, texts: list[str | None], ends: np.ndarray, ids: np.ndarray) -> list[bool]:
+        if self.decoder.bytes(ids) == string.encode("utf-8", "surrogatepass"):
+            return [SPACE not in (t or "") for t in texts]
+        return [self.decoder.text(ids[a:b]) == (t or "") for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
 
 
 class Decoder:
@@ -257,11 +310,12 @@ class Decoder:
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(runs), np.uint8)
 
+    def bytes(self, ids: np.ndarray) -> bytes:
+        return gathered(self.start[ids], self.size[ids], self.flat).tobytes()
+
     def text(self, ids: np.ndarray) -> str:
         """Pieces and bytes end to end, spaces for the space marks, without the space put before."""
-        if not len(ids):
-            return ""
-        s = gathered(self.start[ids], self.size[ids], self.flat).tobytes().decode("utf-8", "replace").replace(SPACE, " ")
+        s = self.bytes(ids).decode("utf-8", "replace").replace(SPACE, " ")
         return s[1:] if s.startswith(" ") else s
 
 
@@ -289,71 +343,56 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
         if total > hot_words:
             least = r["n"] + 1
             break
-    buffer = io.BytesIO()
-    hot = found.filter(F.col("n") >= least).select("word", "path").toArrow()
-    with pa.ipc.new_stream(buffer, hot.schema) as out:
-        out.write_table(hot)
-    sent = spark.sparkContext.broadcast((v, buffer.getvalue()))
-    del hot
+    own = spark.sparkContext.broadcast(v)
 
-    def opened():
-        v, raw = sent.value
-        pieces = Pieces(v)
-        return v, pieces, Splitter(v), Table(pa.ipc.open_stream(raw).read_all(), pieces)
+    def hashed(batches):
+        splitter, pieces = Splitter(own.value), Pieces(own.value)
+        for batch in batches:
+            for part in common.slices(batch, SLICE):
+                text = part.column(0).to_pylist()
+                codes = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)
+                hashes = splitter.hashes(codes, np.concatenate(([0], np.cumsum([len(w) for w in text], dtype=np.int64))))
+                paths = part.column(1)
+                ends = paths.offsets.to_numpy()
+                ids = pieces.of(paths.values.to_numpy()[ends[0] : ends[-1]])
+                lists = pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), lists], ["hash", "ids"])
+
+    hot = common.mapped(found.filter(F.col("n") >= least).select("word", "path"), hashed, "hash long, ids array<int>").toArrow()
+    sent = spark.sparkContext.broadcast((v, Table(hot)))
+    del hot
+    common.release()
 
     def rare(batches):
-        v, _, splitter, table = opened()
-        codes = Codes(table.words, splitter)
+        v, table = sent.value
+        splitter = Splitter(v)
         for batch in batches:
-            for part in common.slices(batch):
-                rows, out = [], []
-                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = [w for w in set(splitter.split(text)) if w not in codes and splitter.known(w)]
-                    rows += [row] * len(own)
-                    out += own
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(out, pa.string())], ["row", "word"])
-
-    def coded(batches):
-        v, _, splitter, table = opened()
-        codes, pack = Codes(table.words, splitter), zstandard.ZstdCompressor(level=3)
-        names = ["doc_id", "row", "codes", "rare", "digest"]
-        for batch in batches:
-            for part in common.slices(batch):
-                out = {n: [] for n in names}
-                for doc, text, row in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    own = splitter.split(text)
-                    code = np.fromiter(map(codes.__getitem__, own), np.int32, len(own))
-                    at = np.flatnonzero(code == RARE)
-                    local: dict[str, int] = {}
-                    for i in at.tolist():
-                        code[i] = RARE - local.setdefault(own[i], len(local))
-                    for n, x in zip(names, (doc, row, pack.compress(code.tobytes()), list(local), xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1), strict=True):
-                        out[n].append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.int64()), strict=True)], names)
-
-    def filled(batches):
-        v, pieces, _, table = opened()
-        decoder, unpack = Decoder(v), zstandard.ZstdDecompressor()
-        names = ["doc_id", "ids", "n_pieces", "round_trip"]
+            for part in common.slices(batch, SLICE):
+                w = splitter.split(part.column(1).to_pylist())
+                own, at = np.unique(w.hashes, return_inverse=True)
+                low = np.flatnonzero((table.rows(own) < 0)[at] & ~w.lone)
+                text = np.searchsorted(w.of_text, low, "right") - 1
+                rows = np.array(part.column(0).to_pylist(), np.int64)[text]
+                once = sorted({(r, w.word(i)) for r, i in zip(rows.tolist(), low.tolist(), strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in once], pa.int64()), pa.array([x for _, x in once], pa.string())], ["row", "word"])
+
+    def run(batches):
+        encoder = Encoder(*sent.value)
         for batch in batches:
-            for part in common.slices(batch):
-                out = {n: [] for n in names}
-                for doc, raw, own, digest, got in zip(*(part.column(n).to_pylist() for n in ("doc_id", "codes", "rare", "digest", "found")), strict=True):
-                    code = np.frombuffer(unpack.decompress(raw), np.int32)
-                    path = {x["word"]: x["path"] for x in got or ()}
-                    special = {RARE - k: pieces.of(np.array(path[w], np.int64)) for k, w in enumerate(own)}
-                    for c in {c for c in np.unique(code[(code < 0) & (code > RARE)]).tolist()}:
-                        special[c] = np.array([v.byte_ids[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")], np.int32)
-                    x = ids_of(code, table, special)
-                    same = xxhash.xxh3_64_intdigest(decoder.text(x).encode("utf-8", "surrogatepass")) >> 1 == digest
-                    for n, y in zip(names, (doc, x, len(x), same), strict=True):
-                        out[n].append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, (pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.bool_()), strict=True)], names)
-
-    own = docs.select("row", "text").mapInArrow(rare, "row long, word string")
-    own = own.join(found.filter(F.col("n") < least).select("word", "path"), "word").groupBy("row").agg(F.collect_list(F.struct("word", "path")).alias("found"))
-    rows = docs.mapInArrow(coded, "doc_id long, row long, codes binary, rare array<string>, digest long")
-    return rows.join(own, "row", "left").mapInArrow(filled, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+            for part in common.slices(batch, SLICE):
+                words = {x["word"]: x["path"] for got in part.column(2).to_pylist() for x in got or ()}
+                ends, ids, same = encoder.encode(part.column(1).to_pylist(), words)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "round_trip"])
+
+    kind = "array<struct<word:string,path:array<int>>>"
+    if least > 1:
+        own = common.mapped(docs.select("row", "text"), rare, "row long, word string").join(found.filter(F.col("n") < least).select("word", "path"), "word")
+        own = own.groupBy("row").agg(F.collect_list(F.struct("word", "path")).alias("found"))
+        rows = docs.join(own, "row", "left").select("doc_id", "text", "found")
+    else:
+        rows = docs.select("doc_id", "text", F.lit(None).cast(kind).alias("found"))
+    return common.mapped(rows, run, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, v: Vocabulary | None = None) -> DataFrame:
