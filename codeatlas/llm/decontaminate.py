@@ -208,7 +208,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep = [not (t and index.value.search(normal(t))) for t in part.column(at).to_pylist()]
                     yield part.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = common.mapped(docs, run, docs.schema)
     return docs
 
 

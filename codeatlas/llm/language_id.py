@@ -12,7 +12,7 @@ from . import common
 
 DIM = 8192
 #: Labelled rows that the classifier is fitted on, at most, for each language.
-MAX_PER_LANG = 600
+MAX_PER_LANG = 400
 CLUSTERS = 4
 #: Letters of the shortened texts that the rejection distance is fitted on, beside whole texts.
 LENGTHS = (16, 64, 256)
@@ -55,8 +55,10 @@ class Model:
     floor: list[float]  # by size class: below that cosine a text is rejected
 
     def vectors(self, rows: np.ndarray) -> np.ndarray:
-        x = np.log1p(rows, dtype=np.float32) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = np.log1p(rows, dtype=np.float32)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return x
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Language, cosine and whether the text is rejected, of each text."""
@@ -110,8 +112,9 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, clusters: int = CLUST
 
         return run
 
-    rows = common.by_batch(sampled(docs, max_per_lang), make, "lang string, size int, at array<int>, n array<int>").collect()
-    rows.sort(key=lambda r: (r["lang"], r["size"], r["at"], r["n"]))
+    rows = common.by_batch(sampled(docs, max_per_lang), make, "lang string, size int, at array<int>, n array<int>").toArrow()
+    rows = [{"lang": lang, "size": size, "at": at.values.to_numpy(), "n": n.values.to_numpy()} for lang, size, at, n in zip(*(rows.column(i).to_pylist() if i < 2 else rows.column(i) for i in range(4)), strict=True)]
+    rows.sort(key=lambda r: (r["lang"], r["size"], len(r["at"]), r["at"].tobytes(), r["n"].tobytes()))
     whole = [r for r in rows if r["size"] < 0]
 
     def dense(part):
@@ -140,6 +143,8 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, clusters: int = CLUST
             least[k] = min(least[k], float(best))
     for k in range(1, len(least)):  # a longer text never has to be nearer than was seen
         least[k] = min(least[k], 0.9)
+    del x, rows, whole
+    common.release()
     return Model(langs, model.centroids, idf, [SLACK * x if x < 1 else 0.0 for x in least])
 
 
@@ -192,4 +197,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 keep = [not f[2] for f in model.value.predict(part.column(names.index("text")).to_pylist())]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.mapped(docs, run, docs.schema)

@@ -14,7 +14,7 @@ BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 #: A bucket of more sets than this that its star leaves in several components is tested in blocks of BLOCK sets.
 SMALL, BLOCK = 8, 128
-CACHE = 500_000
+CACHE = 200_000
 U = np.uint64
 MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U)
 

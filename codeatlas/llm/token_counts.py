@@ -9,7 +9,7 @@ from . import common
 from .sentencepiece_lattice import MODEL, SPACE, Vocabulary
 
 #: Counts of distinct words that a task keeps, at most.
-CACHE = 500_000
+CACHE = 300_000
 #: Longer words aren't kept.
 LONG = 64
 
