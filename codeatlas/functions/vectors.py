@@ -11,9 +11,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine(a: Column, b: Column) -> Column:
+def length(v: Column) -> Column:
+    """The norm that `cosine` divides by; worth computing once for a vector that is compared often."""
+    return F.sqrt(dot(v, v))
+
+
+def cosine(a: Column, b: Column, length_a: Column | None = None, length_b: Column | None = None) -> Column:
     """Cosine similarity; 0 if either vector is zero; an error if the lengths differ; null if either is null."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    norms = (length(a) if length_a is None else length_a) * (length(b) if length_b is None else length_b)
     same = F.size(a) == F.size(b)
     wrong = F.raise_error(F.concat(F.lit("vectors of different lengths: "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"))).cast("double")
     value = F.when(~same, wrong).when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)

@@ -38,7 +38,9 @@ def count(vectors: DataFrame) -> DataFrame:
 
 def with_similarity(vectors: DataFrame, query: DataFrame, embedding: str = "embedding") -> DataFrame:
     """vectors with similarity to the one row of query (column `query_vector`), which is broadcast: it is one vector."""
-    return vectors.crossJoin(F.broadcast(query.select("query_vector"))).withColumn("similarity", fv.cosine(F.col(embedding), F.col("query_vector"))).drop("query_vector")
+    one = query.select("query_vector", fv.length(F.col("query_vector")).alias("query_length"))
+    similarity = fv.cosine(F.col(embedding), F.col("query_vector"), length_b=F.col("query_length"))
+    return vectors.crossJoin(F.broadcast(one)).withColumn("similarity", similarity).drop("query_vector", "query_length")
 
 
 def top_k(vectors: DataFrame, query: DataFrame, k: int, key: list[str] | tuple[str, ...] = KEY, embedding: str = "embedding") -> DataFrame:
@@ -53,14 +55,17 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int, key: list[str] | tuple[s
 def batch_top_k(vectors: DataFrame, queries: DataFrame, query_key: str, k: int, key: list[str] | tuple[str, ...], embedding: str = "embedding", block: int = 512) -> DataFrame:
     """The k nearest vectors of each query (query_key, query_vector). Extension.
 
-    Queries are taken in blocks of at most `block` rows, each broadcast; per block only k scores a query leave a partition.
+    Queries are taken in blocks of about `block` rows, each broadcast; per block only k scores a query leave a partition.
+    Norms are computed once a vector, not once a pair.
     """
+    vectors = vectors.select(*key, embedding, fv.length(F.col(embedding)).alias("own_length"))
+    queries = queries.select(query_key, "query_vector", fv.length(F.col("query_vector")).alias("query_length"))
     n = -(-queries.count() // block)
     out = None
     for i in range(n):
         part = queries.filter(F.pmod(F.xxhash64(query_key), F.lit(n)) == i) if n > 1 else queries
-        scored = vectors.select(*key, embedding).crossJoin(F.broadcast(part.select(query_key, "query_vector")))
-        scored = scored.select(query_key, *key, fv.cosine(F.col(embedding), F.col("query_vector")).alias("similarity"))
+        similarity = fv.cosine(F.col(embedding), F.col("query_vector"), F.col("own_length"), F.col("query_length"))
+        scored = vectors.crossJoin(F.broadcast(part)).select(query_key, *key, similarity.alias("similarity"))
         w = Window.partitionBy(query_key).orderBy(F.desc("similarity"), *key)
         best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
