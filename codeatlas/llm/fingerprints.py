@@ -19,12 +19,12 @@ U = np.uint64
 BITS = 22
 #: The band: terms in at least MIN_DOCS documents and in at most this share of all.
 MIN_DOCS, MAX_SHARE = 2, 0.1
-#: Each subset of a level holds a term with probability 4 ** -level, whatever the document.
-LEVELS, SUBSETS = 5, 16
+#: A subset of a level holds a term with probability 1 in 2 * DENSITY ** level (5 to 488), whatever the document.
+LEVELS, SUBSETS, DENSITY = 6, 16, 2.5
 #: A level tells documents apart if at least so many of its subsets hold a term of either.
 FILLED = 8
 SEEDS = mixed(np.arange(1, LEVELS * SUBSETS + 1, dtype=U) * MUL[0])
-LEAST = np.repeat(np.array([1 << (64 - 2 * k) for k in range(1, LEVELS + 1)], U), SUBSETS)
+LEAST = np.repeat(np.array([int(2**64 / (2 * DENSITY**k)) for k in range(1, LEVELS + 1)], U), SUBSETS)
 
 
 def terms(text: str, seen: Hashes) -> np.ndarray:
@@ -46,7 +46,7 @@ def fingerprint(text: str, kept: np.ndarray, seen: Hashes) -> tuple[int, np.ndar
     drawn = mixed(h[:, None] ^ SEEDS)
     inside = drawn < LEAST
     # the sum of the hashes of sorted distinct terms is the same as a hash of their list
-    part = mixed(np.where(inside, mixed(drawn + MUL[1]), U(0)).sum(axis=0, dtype=U)) >> U(32)
+    part = mixed(np.where(inside, mixed(drawn + MUL[1]), U(0)).sum(axis=0, dtype=U)) >> U(40)
     return int(mixed(mixed(h + MUL[2]).sum(keepdims=True, dtype=U))[0]), np.where(inside.any(axis=0), np.maximum(part, U(1)), U(0)).astype(np.uint32)
 
 
@@ -63,7 +63,7 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
 
 
 def printed(f: tuple[int, np.ndarray]) -> str:
-    return f"{f[0]:016x}:{f[1].astype('>u4').tobytes().hex()}"
+    return f"{f[0]:016x}:{f[1].astype('>u4').view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex()}"
 
 
 def lexicon(docs: DataFrame) -> np.ndarray:
