@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeatlas import schemas
 from codeatlas.operators.vectors import last_wins
-from codeatlas.shared import cut
+from codeatlas.shared import cut, numbered
 
 #: A frontier is broadcast up to this many ids; beyond it the step's join shuffles.
 BROADCAST_ROWS = 100_000
@@ -146,10 +146,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 10, re
         starts = nodes.sparkSession.createDataFrame([(start,)], "root string")
         found = dfs(nodes, edges, starts, depth, rels).drop("root")
     else:
-        from pyspark.sql import Window
-
-        found = bfs(nodes, edges, start, depth, rels)
-        found = found.withColumn("pos", F.row_number().over(Window.orderBy("depth", "node_id")).cast("long") - 1)
+        found = numbered(bfs(nodes, edges, start, depth, rels), "pos", "depth", "node_id")
     return found.join(nodes, "node_id")
 
 

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with 0, 1, 2 ... in that order, which must be total: ranges are numbered apart and shifted by the sizes before them."""
+    part = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = dict(part.groupBy("part").count().collect())
+    starts, at = [], 0
+    for k in sorted(sizes):
+        starts.append((k, at))
+        at += sizes[k]
+    shift = df.sparkSession.createDataFrame(starts, "part int, shift long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return part.withColumn(name, own).join(F.broadcast(shift), "part").withColumn(name, F.col(name) + F.col("shift")).drop("part", "shift")

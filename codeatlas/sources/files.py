@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas import schemas
 from codeatlas.functions.language import file_name
 
 #: Folders whose files are passed over, and the extensions taken by default (fixed values).
@@ -34,25 +35,83 @@ def within_depth(relative: Column, depth: int | None) -> Column:
     return F.lit(True) if depth is None else F.size(F.split(relative, "/")) <= depth
 
 
+def wanted(path: str, extensions: list[str] | None) -> bool:
+    """`included` for one path, so that passed-over files are never read."""
+    name = path.rsplit("/", 1)[-1]
+    if name.startswith(".") or any(part in path for part in EXCLUDED):
+        return False
+    return any(name.endswith(f".{e}") for e in (extensions or EXTENSIONS))
+
+
+def subtrees(root: str, parts: int) -> list[tuple[str, bool]]:
+    """Folders to list (alone, or with all below) that together hold the tree: about `parts` or more of them if it has so many."""
+    alone, below = [], [root]
+    while below and len(below) < parts:
+        found = [e.path for d in below for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
+        alone += below
+        below = [d for d in found if not any(part in f"{d}/" for part in EXCLUDED)]
+    return [(d, False) for d in alone] + [(d, True) for d in below]
+
+
 def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, depth: int | None = None) -> DataFrame:
     """path, file_name, content, error of the selected files below root, or of root itself if it is a file.
 
-    A missing root gives no rows. Content that isn't UTF-8 is null, with an error. Files are read by the executors.
+    A missing root gives no rows. Content that isn't UTF-8 is null, with an error. Executors list and read the files: of a
+    local or mounted tree by themselves, subtree by subtree; of another store through Spark's reader, which never sees names
+    that begin with `_` or `.`.
     """
-    local = "://" not in root
-    if local and not os.path.exists(root):
-        return spark.createDataFrame([], schemas.FILES)
-    root = os.path.abspath(root) if local else root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", r"^file:/+", "/") if local else F.col("path")
-    found = found.select(path.alias("path"), "content")
-    if not (local and os.path.isfile(root)):
-        found = found.filter(within_depth(F.substring("path", F.lit(len(root) + 2), F.length("path")), depth))
-    found = found.filter(included(F.col("path"), extensions))
-    return decoded(found)
+    if "://" not in root:
+        return decoded(local(spark, os.path.abspath(root), extensions, depth))
+    root = root.rstrip("/")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(extensions or EXTENSIONS) + "}")
+    found = reader.load(root).select("path", "content")
+    found = found.filter(within_depth(F.substring("path", F.lit(len(root) + 2), F.length("path")), depth) | (F.col("path") == root))
+    return decoded(found.filter(included(F.col("path"), extensions)))
+
+
+def local(spark: SparkSession, root: str, extensions: list[str] | None, depth: int | None) -> DataFrame:
+    schema = "path string, content binary"
+    if not os.path.exists(root):
+        return spark.createDataFrame([], schema)
+    single = os.path.isfile(root)
+    parts = 4 * spark.sparkContext.defaultParallelism
+    folders = [(root, False)] if single else subtrees(root, parts)
+
+    def paths(folder: str, below: bool) -> Iterator[str]:
+        if single:
+            yield folder
+            return
+        for at, _, names in os.walk(folder):
+            yield from (f"{at}/{n}" for n in names)
+            if not below:
+                return
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, size = [], 0
+            for folder, below in zip(batch["folder"], batch["below"], strict=True):
+                for path in paths(folder, below):
+                    if not wanted(path, extensions) or not os.path.isfile(path):
+                        continue
+                    if depth is not None and path[len(root) :].count("/") > depth and not single:
+                        continue
+                    try:
+                        with open(path, "rb") as f:
+                            rows.append((path, f.read()))
+                    except OSError:
+                        rows.append((path, None))
+                    size += len(rows[-1][1] or b"")
+                    if size > 16 << 20:
+                        yield pd.DataFrame(rows, columns=["path", "content"])
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    dealt = spark.createDataFrame(folders, "folder string, below boolean").repartition(min(parts, len(folders)))
+    return dealt.mapInPandas(read, schema)
 
 
 def decoded(found: DataFrame) -> DataFrame:
-    """path, file_name, content, error of path and binary content: text, or null and an error if it isn't UTF-8."""
+    """path, file_name, content, error of path and binary content: text, or null and an error if it can't be read or isn't UTF-8."""
     ok = F.is_valid_utf8(F.col("content").cast("string"))
-    return found.select("path", file_name(F.col("path")).alias("file_name"), F.when(ok, F.col("content").cast("string")).alias("content"), F.when(~ok, F.lit("not valid UTF-8")).alias("error"))
+    error = F.when(F.col("content").isNull(), F.lit("can't be read")).when(~ok, F.lit("not valid UTF-8"))
+    return found.select("path", file_name(F.col("path")).alias("file_name"), F.when(ok, F.col("content").cast("string")).alias("content"), error.alias("error"))

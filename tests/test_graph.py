@@ -117,3 +117,11 @@ def test_walks_on_random_cyclic_graphs(spark, seed):
     dist, order = brute(edges, "0", 3)
     assert depths(graph.bfs(n, e, "0", 3)) == dist
     assert dfs(spark, n, e, "0", 3) == order
+
+
+def test_numbers_over_ranges(spark):
+    from codeatlas.shared import numbered
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 as v", "'x' as w")
+    assert all(r["v"] == r["n"] for r in numbered(df, "n", "v").collect())
+    assert numbered(df.limit(0), "n", "v").count() == 0

@@ -20,6 +20,9 @@ def test_languages(spark):
 
 
 def test_path_filter(spark):
+    some = ["/p/build/A.java", "/p/.hidden/A.java", "/p/A.JAVA", "/p/.A.java", "/p/A.java", "/p/java", "/p/target/x.py", "/p/a.b.go"]
+    assert column(spark, some, files.included) == [files.wanted(p, None) for p in some]
+    assert column(spark, some, lambda c: files.included(c, ["py", "b.go"])) == [files.wanted(p, ["py", "b.go"]) for p in some]
     got = column(spark, ["/p/build/A.java", "/p/.hidden/A.java", "/p/A.JAVA", "/p/.A.java", "/p/A.java", "/p/java"], files.included)
     assert got == [False, True, False, False, True, False]
     assert column(spark, ["/p/a.tsx", "/p/a.py"], lambda c: files.included(c, ["tsx"])) == [True, False]
@@ -31,8 +34,13 @@ def test_scan(spark, tmp_path):
     (tmp_path / "src" / "deep" / "b.java").write_text("class B {}")
     (tmp_path / "src" / "bad.py").write_bytes(b"\xff\xfe")
     (tmp_path / "src" / "notes.txt").write_text("no")
+    for folder, name in ((".hidden", "h.py"), ("_own", "__init__.py"), ("node_modules", "n.js"), ("deep/build/x", "y.go")):
+        (tmp_path / "src" / folder).mkdir(parents=True)
+        (tmp_path / "src" / folder / name).write_text("x")
     rows = {r["file_name"]: r for r in files.scan(spark, str(tmp_path / "src")).collect()}
-    assert set(rows) == {"a.py", "b.java", "bad.py"}
+    assert set(rows) == {"a.py", "b.java", "bad.py", "h.py", "__init__.py"}
+    assert {r["file_name"] for r in files.scan(spark, str(tmp_path / "src"), ["go", "txt"]).collect()} == {"notes.txt"}
+    assert {r["file_name"] for r in files.scan(spark, f"file://{tmp_path}/src").collect()} == {"a.py", "b.java", "bad.py"}
     assert rows["bad.py"]["content"] is None and rows["bad.py"]["error"] and rows["a.py"]["content"] == "x = 1\n"
     assert {r["file_name"] for r in files.scan(spark, str(tmp_path / "src"), depth=1).collect()} == {"a.py", "bad.py"}
     assert files.scan(spark, str(tmp_path / "src" / "a.py")).count() == 1
