@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeatlas.shared import share_code
+
 MOCK_DIMENSION, HTTP_DIMENSION, LOCAL_DIMENSION = 768, 1024, 768
 #: Constants of the 48-bit linear congruential generator that seeds the mock (fixed values).
 MULTIPLIER, INCREMENT, MASK = 0x5DEECE66D, 0xB, (1 << 48) - 1
@@ -129,6 +131,8 @@ def create(model: str | None, model_name: str | None = None, dimension: int | No
 def embed(rows: DataFrame, text: str, model: Model, out: str = "embedding") -> DataFrame:
     """rows with the vector of each text (null: empty), by Arrow batches; the model is made once a task."""
 
+    share_code(rows.sparkSession)
+
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = model.make()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeatlas import schemas
 from codeatlas.operators.vectors import last_wins
-from codeatlas.shared import cut, numbered
+from codeatlas.shared import cut, numbered, share_code
 
 #: A frontier is broadcast up to this many ids; beyond it the step's join shuffles.
 BROADCAST_ROWS = 100_000
@@ -108,6 +108,7 @@ def dfs(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int, r
     """
     if max_depth < 0:
         return nodes.sparkSession.createDataFrame([], "root string, node_id string, depth long, pos long")
+    share_code(nodes.sparkSession)
     own = related(edges, rels).select("src", "dst", "edge_seq")
     known = starts.select("root").distinct().join(nodes.select(F.col("node_id").alias("root")), "root", "left_semi")
     reach = cut(known.select("root", F.col("root").alias("node_id")), "reach")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codeatlas import schemas
 from codeatlas.functions.language import language
 from codeatlas.operators.parsing import braces, python_source, words
+from codeatlas.shared import share_code
 
 EMPTY = {"package_name": "", "class_name": "", "properties": [], "methods": []}
 
@@ -30,6 +31,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     Files of unknown language keep a null language; `whole_files` turns them into rows.
     """
 
+    share_code(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []

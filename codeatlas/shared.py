@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; on a cluster that is its place on the executors, or use --py-files."""
+    home, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, home])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and everything runs in one process, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)

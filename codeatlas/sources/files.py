@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.functions.language import file_name
+from codeatlas.shared import share_code
 
 #: Folders whose files are passed over, and the extensions taken by default (fixed values).
 EXCLUDED = ("/.git/", "/node_modules/", "/build/", "/target/", "/.gradle/")
@@ -73,6 +74,7 @@ def local(spark: SparkSession, root: str, extensions: list[str] | None, depth: i
     schema = "path string, content binary"
     if not os.path.exists(root):
         return spark.createDataFrame([], schema)
+    share_code(spark)
     single = os.path.isfile(root)
     parts = 4 * spark.sparkContext.defaultParallelism
     folders = [(root, False)] if single else subtrees(root, parts)
