@@ -13,9 +13,9 @@ from pyspark.sql.functions import broadcast
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from codeatlas.shared import cut
+from codeatlas.shared import cut, share_code
 
-__all__ = ["BROADCAST_ROWS", "by_batch", "by_ids", "cut", "mapped", "release", "slices", "table"]
+__all__ = ["BROADCAST_ROWS", "by_batch", "by_ids", "cut", "mapped", "release", "share_code", "slices", "table"]
 
 #: A set of ids or hashes is broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
@@ -48,6 +48,8 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow that gives a task's memory back to the system when the task ends: workers live on between tasks."""
 
+    share_code(df.sparkSession)
+
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)

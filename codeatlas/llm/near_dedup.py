@@ -163,6 +163,7 @@ def in_blocks(crowds: DataFrame, full: DataFrame) -> DataFrame:
 
     The pairs are tested within a task and never become rows; a row is copied once for each block of its crowd.
     """
+    common.share_code(crowds.sparkSession)
     size = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = crowds.join(size, "crowd").withColumn("own", F.pmod(F.xxhash64(F.lit(8), "cid"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
