@@ -54,6 +54,9 @@ class Page:
     def __init__(self, source: str | None):
         self.blocks: list[tuple[int, str, bool, bool]] = []
         self.parts: list[str] = []
+        # (parent, style) and hash of the children's styles, runs of one style as one, of every element; of each block its element
+        self.elements, self.children, self.at = [(0, "")], [0], []
+        self.last, self.stack = [""], [0]
         # (tag, path, in main, noise) of the open elements that aren't inline
         self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         for m in TOKEN.finditer(source or ""):
@@ -81,8 +84,16 @@ class Page:
         if self.parts:
             if text := plain("".join(self.parts)):
                 self.blocks.append((self.open[-1][1], text, *self.open[-1][2:]))
+                self.at.append(self.stack[len(self.open) - 1])
             self.parts = []
 
+    def branches(self) -> list[int]:
+        """For each block a hash of its element's place: the styles of all elements above it, and of all their children in order."""
+        of: list[int] = []
+        for (parent, style), children in zip(self.elements, self.children, strict=True):
+            of.append(xxhash.xxh3_64_intdigest(f"{of[parent] if of else 0}/{style}/{children}") >> 1)
+        return [of[i] for i in self.at]
+
     def close(self, name: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == name:
@@ -109,71 +120,99 @@ class Page:
         _, path, inside, noise = self.open[-1]
         noise = noise or name in NOISE_TAGS or (name == "header" and not inside) or role in NOISE_ROLES
         noise = noise or bool(look and name not in ("body", "html") and name not in MAIN and NOISE_WORDS.search(look))
-        style = f"{path}/{name}.{' '.join(sorted(look.split()))}.{role}"
+        own = f"{name}.{' '.join(sorted(look.split()))}.{role}"
         if len(self.open) < 2000:
-            self.open.append((name, xxhash.xxh3_64_intdigest(style) >> 1, inside or name in MAIN or role in ("main", "article"), noise))
+            above = self.stack[len(self.open) - 1]
+            if own != self.last[above]:
+                self.last[above], self.children[above] = own, xxhash.xxh3_64_intdigest(f"{self.children[above]} {own}")
+            del self.stack[len(self.open) :]
+            self.stack.append(len(self.elements))
+            self.elements.append((above, own))
+            self.children.append(0)
+            self.last.append("")
+            self.open.append((name, xxhash.xxh3_64_intdigest(f"{path}/{own}") >> 1, inside or name in MAIN or role in ("main", "article"), noise))
+
+
+def ident(*parts) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(map(str, parts))) >> 1
+
+
+def features(page: Page) -> list[tuple[int, int, int, int]]:
+    """For every block its node by style path and by branch, and a hash of its text at each."""
+    return [(path, branch, ident(path, text), ident(branch, text)) for (path, text, _, _), branch in zip(page.blocks, page.branches(), strict=True)]
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """host, node, content, page: for every page its style nodes that hold text, with a hash of what they hold and of the whole page's text."""
+    """host, node, content, page: hashes of every page's host, its nodes that hold text, what they hold (0: the node itself) and the whole page's text."""
 
     def make():
         def run(x):
             out = {k: [] for k in ("host", "node", "content", "page")}
             for url, source in zip(x["url"], x["html"], strict=True):
-                own: dict[int, list[str]] = {}
-                for path, text, _, _ in (blocks := Page(source).blocks):
-                    own.setdefault(path, []).append(text)
-                page = xxhash.xxh3_64_intdigest("\n".join(b[1] for b in blocks)) >> 1
-                for path, texts in own.items():
-                    for k, v in (("host", host(url)), ("node", path), ("content", xxhash.xxh3_64_intdigest("\n".join(texts)) >> 1), ("page", page)):
+                found = Page(source)
+                own = {r for path, branch, a, b in features(found) for r in ((path, 0), (path, a), (branch, 0), (branch, b))}
+                page, site = ident(*(b[1] for b in found.blocks)), ident(host(url))
+                for node, content in own:
+                    for k, v in (("host", site), ("node", node), ("content", content), ("page", page)):
                         out[k].append(v)
             return out
 
         return run
 
-    return common.by_batch(pages.select("url", "html"), make, "host string, node long, content long, page long")
+    return common.by_batch(pages.select("url", "html"), make, "host long, node long, content long, page long")
 
 
 def unimportant(pages: DataFrame) -> DataFrame:
-    """host, nodes: the style nodes whose content hardly differs between the host's different pages.
+    """host, contents: the contents of nodes that the host's different pages share.
 
-    A node's importance is the entropy of its contents over the m pages that have it, in units of log m; copies of a page count once.
+    A content's importance is 1 less its entropy over the m pages that have the node, in units of log m: 1 - log n / log m if
+    n of them hold it; copies of a page count once. A node counts as all pages' that share its style path, and as those of
+    its branch alone (the same sequences of child styles all the way up); a content that is low in either is low.
+    The importance of inner nodes (entropy of their child styles) can't change what is removed: a node is noise
+    if it and all below it are low, so text goes if and only if its own node is low.
     """
-    contents = nodes(pages).distinct().groupBy("host", "node", "content").agg(F.count("*").alias("n"))
-    m = F.sum("n")
-    importance = 1 - F.sum(F.col("n") * F.log("n")) / (m * F.log(m))
-    found = contents.groupBy("host", "node").agg(m.alias("pages"), importance.alias("importance"))
-    return found.filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).groupBy("host").agg(F.collect_list("node").alias("nodes"))
+    counts = nodes(pages).distinct().groupBy("host", "node", "content").agg(F.count("*").alias("n"))
+    # below LEAST_IMPORTANCE n is at least m ** (1 - LEAST_IMPORTANCE), so 3 or more
+    counts = common.cut(counts.filter(F.col("n") >= MIN_PAGES), "contents")
+    m = counts.filter("content = 0").select("host", "node", F.col("n").alias("m"))
+    low = counts.filter("content <> 0").join(m, ["host", "node"]).filter(1 - F.log("n") / F.log("m") < LEAST_IMPORTANCE)
+    return low.groupBy("host").agg(F.collect_set("content").alias("contents"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, removed (blocks left out) for every row of pages.
+    """page_id, url, text, n_chars, removed (blocks left out, but for those of the presentation) for every row of pages.
 
-    Blocks outside an article or main element are used only on pages without one. Blocks of unimportant style nodes of the
-    host and of presentation that is never article (menus, adverts, forms ...) are left out; within an article the
-    presentation decides alone, so that a site of few or alike articles keeps them. Null and empty html give an empty text.
-    A null url belongs to the host without a name. Repeated rows each get their row. Pages of any length are read whole;
-    elements nested over 2,000 deep count to the last one. Other columns of pages are ignored.
+    Presentation that is never article (menus, adverts, forms ...) and contents that the host's pages share are left out,
+    within an article or main element too; where those would be half of an element's text or more, the articles are alike
+    and keep them. Blocks outside an article or main element are used only on pages without one. Null and empty html give
+    an empty text. A null url belongs to the host without a name. Repeated rows each get their row. Pages of any length are
+    read whole; elements nested over 2,000 deep count to the last one. Other columns of pages are ignored.
     """
 
     def make():
         def run(x):
             out = {k: [] for k in ("page_id", "url", "host", "salt", "blocks")}
             for page, url, source in zip(x["page_id"], x["url"], x["html"], strict=True):
-                blocks = Page(source).blocks
-                any_main = any(b[2] for b in blocks)
-                kept = [{"node": -1 if b[2] else b[0], "text": b[1]} for b in blocks if not b[3] and (b[2] or not any_main)]
-                for k, v in (("page_id", page), ("url", url), ("host", host(url)), ("salt", (page or 0) % SALTS), ("blocks", kept)):
+                found = Page(source)
+                any_main = any(b[2] for b in found.blocks)
+                own = zip(found.blocks, features(found), strict=True)
+                kept = [{"path": f[2], "branch": f[3], "inside": b[2], "text": b[1]} for b, f in own if not b[3] and (b[2] or not any_main)]
+                for k, v in (("page_id", page), ("url", url), ("host", ident(host(url))), ("salt", (page or 0) % SALTS), ("blocks", kept)):
                     out[k].append(v)
             return out
 
         return run
 
-    rows = common.by_batch(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), make, "page_id long, url string, host string, salt int, blocks array<struct<node:long,text:string>>")
+    schema = "page_id long, url string, host long, salt int, blocks array<struct<path:long,branch:long,inside:boolean,text:string>>"
+    rows = common.by_batch(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), make, schema)
     low = unimportant(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    kept = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("nodes", F.array().cast("array<bigint>")), b["node"]))
-    found = rows.join(low, ["host", "salt"], "left").select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"), (F.size("blocks") - F.size(kept)).alias("removed"))
+    found = rows.join(low, ["host", "salt"], "left").withColumn("contents", F.coalesce("contents", F.array().cast("array<bigint>")))
+    is_low = lambda b: F.array_contains("contents", b["path"]) | F.array_contains("contents", b["branch"])
+    found = found.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["inside"].alias("inside"), is_low(b).alias("low"))))
+    chars = lambda blocks, test: F.aggregate(F.filter(blocks, test), F.lit(0), lambda n, b: n + F.length(b["text"]))
+    found = found.withColumn("alike", 2 * chars("blocks", lambda b: b["inside"] & b["low"]) >= chars("blocks", lambda b: b["inside"]))
+    found = found.withColumn("kept", F.filter("blocks", lambda b: ~b["low"] | (b["inside"] & F.col("alike"))))
+    found = found.select("page_id", "url", F.array_join(F.transform("kept", lambda b: b["text"]), "\n").alias("text"), (F.size("blocks") - F.size("kept")).alias("removed"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.col("removed").cast("long").alias("removed"))
 
 

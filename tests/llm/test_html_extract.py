@@ -38,6 +38,21 @@ def test_alike_articles_stay(spark):
     assert set(texts(spark, [page.format(i) for i in range(5)], {i: "http://s.org/" for i in range(5)}).values()) == {"same text"}
 
 
+def test_what_a_site_repeats_within_its_articles(spark):
+    """A block without a telling class goes, whatever the paragraphs beside it; what differs stays."""
+    page = lambda i: "<main><h1>Story {0}</h1>{1}<p>Get our letter every week.</p></main>".format(i, "".join(f"<p>Paragraph {k} of the story {i}.</p>" for k in range(1 + i % 3)))
+    got = texts(spark, [page(i) for i in range(6)], {i: "http://s.org/" for i in range(6)})
+    assert got == {i: "\n".join([f"Story {i}", *(f"Paragraph {k} of the story {i}." for k in range(1 + i % 3))]) for i in range(6)}
+
+
+def test_what_one_branch_of_a_site_repeats(spark):
+    """Four list pages share a line that the other pages of the same style path haven't got."""
+    pages = [f"<body><p>Choose one of our stories.</p><ul><li>list of stories {i} and more of them</ul></body>" for i in range(4)]
+    pages += [f"<body><p>the story {i} itself</p></body>" for i in range(20)]
+    got = texts(spark, pages, {i: "http://s.org/" for i in range(24)})
+    assert got == {i: f"list of stories {i} and more of them" if i < 4 else f"the story {i - 4} itself" for i in range(24)}
+
+
 def test_tags_that_are_never_closed(spark):
     pages = ["<head><meta charset=x><body><p>in", "<div><button>send</div><p>after", "<svg><title>t</title><text>no</text></svg><p>yes", "<p>a<script>b</p>"]
     assert texts(spark, pages) == {0: "in", 1: "after", 2: "yes", 3: "a"}
