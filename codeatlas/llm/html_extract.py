@@ -184,8 +184,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Presentation that is never article (menus, adverts, forms ...) and contents that the host's pages share are left out,
     within an article or main element too; where those would be half of an element's text or more, the articles are alike
-    and keep them. Blocks outside an article or main element are used only on pages without one. Null and empty html give
-    an empty text. A null url belongs to the host without a name. Repeated rows each get their row. Pages of any length are
+    and keep them. If the rest of a page lies within article or main elements by half or more, the blocks outside are left
+    out; else all stay, so that a teaser or comments marked up as articles never replace a body. Null and empty html give an
+    empty text. A null url belongs to the host without a name. Repeated rows each get their row. Pages of any length are
     read whole; elements nested over 2,000 deep count to the last one. Other columns of pages are ignored.
     """
 
@@ -194,9 +195,8 @@ def extract(pages: DataFrame) -> DataFrame:
             out = {k: [] for k in ("page_id", "url", "host", "salt", "blocks")}
             for page, url, source in zip(x["page_id"], x["url"], x["html"], strict=True):
                 found = Page(source)
-                any_main = any(b[2] for b in found.blocks)
                 own = zip(found.blocks, features(found), strict=True)
-                kept = [{"path": f[2], "branch": f[3], "inside": b[2], "text": b[1]} for b, f in own if not b[3] and (b[2] or not any_main)]
+                kept = [{"path": f[2], "branch": f[3], "inside": b[2], "text": b[1]} for b, f in own if not b[3]]
                 for k, v in (("page_id", page), ("url", url), ("host", ident(host(url))), ("salt", (page or 0) % SALTS), ("blocks", kept)):
                     out[k].append(v)
             return out
@@ -211,7 +211,9 @@ def extract(pages: DataFrame) -> DataFrame:
     found = found.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["inside"].alias("inside"), is_low(b).alias("low"))))
     chars = lambda blocks, test: F.aggregate(F.filter(blocks, test), F.lit(0), lambda n, b: n + F.length(b["text"]))
     found = found.withColumn("alike", 2 * chars("blocks", lambda b: b["inside"] & b["low"]) >= chars("blocks", lambda b: b["inside"]))
-    found = found.withColumn("kept", F.filter("blocks", lambda b: ~b["low"] | (b["inside"] & F.col("alike"))))
+    found = found.withColumn("left", F.filter("blocks", lambda b: ~b["low"] | (b["inside"] & F.col("alike"))))
+    found = found.withColumn("whole", chars("left", lambda b: b["inside"]) >= chars("left", lambda b: ~b["inside"]))
+    found = found.withColumn("kept", F.filter("left", lambda b: b["inside"] | ~F.col("whole")))
     found = found.select("page_id", "url", F.array_join(F.transform("kept", lambda b: b["text"]), "\n").alias("text"), (F.size("blocks") - F.size("kept")).alias("removed"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.col("removed").cast("long").alias("removed"))
 

@@ -53,6 +53,14 @@ def test_what_one_branch_of_a_site_repeats(spark):
     assert got == {i: f"list of stories {i} and more of them" if i < 4 else f"the story {i - 4} itself" for i in range(24)}
 
 
+def test_articles_that_are_not_the_main_text(spark):
+    body = "<div class=entry-content><p>The story itself is told here at length.</p></div>"
+    comments = "<ol><li class=comment><article><p>nice!</p></article></li></ol>"
+    pages = [body + comments, body + "<aside><article><p>see also</p></article></aside>", body + "<article class=teaser><p>Next story</p></article>"]
+    story = "The story itself is told here at length."
+    assert texts(spark, pages) == {0: story, 1: story, 2: f"{story}\nNext story"}
+
+
 def test_tags_that_are_never_closed(spark):
     pages = ["<head><meta charset=x><body><p>in", "<div><button>send</div><p>after", "<svg><title>t</title><text>no</text></svg><p>yes", "<p>a<script>b</p>"]
     assert texts(spark, pages) == {0: "in", 1: "after", 2: "yes", 3: "a"}
