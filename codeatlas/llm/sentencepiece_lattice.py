@@ -2,10 +2,12 @@
 
 Substrings of bounded length are exploded, joined to the piece table and grouped by word; a higher-order aggregate folds
 each word's lattice to its best path: Viterbi over the piece scores for a unigram model, the merge order for a BPE model.
+Words too long for the aggregate's state are folded by the same rules where their text is encoded.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +22,12 @@ from .near_dedup import mixed
 #: A public model: BPE with byte fallback, identity normalisation, a space put before the text.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Longest piece, and longest word that is folded in one state word; longer ones without a seam are cut there.
+#: Longest piece, and longest word that is folded in one state word; longer ones without a seam are folded by `Folder`.
 MAX_PIECE, MAX_WORD = 16, 48
 #: Words whose ids are broadcast, at most: the most frequent (about 20 bytes each). All others are joined.
 HOT_WORDS = 4_000_000
+#: Characters of long words whose paths a task keeps.
+KEPT = 1 << 20
 #: Distinct words that a task counts before it passes them on, and bytes of text that it takes at once.
 FLUSH, SLICE = 250_000, 1 << 20
 #: Words of a task whose edges are grouped in memory; a task with more sorts them.
@@ -77,6 +81,10 @@ class Words:
     def word(self, i: int) -> str:
         return self.string[self.bounds[i] : self.bounds[i + 1]]
 
+    def long(self) -> np.ndarray:
+        """Whether each word is too long for one state word."""
+        return np.diff(self.bounds) > MAX_WORD
+
 
 class Splitter:
     """Cuts texts wherever no piece holds both neighbours, so that no piece is lost; a character without a piece stands alone."""
@@ -99,9 +107,6 @@ class Splitter:
         cut[1:-1] = ~self.joined[k[:-1] * self.n + k[1:]] if len(s) else True
         cut[ends] = True
         bounds = np.flatnonzero(cut)
-        for a, b in zip(*(bounds[i : len(bounds) - 1 + i][np.diff(bounds) > MAX_WORD].tolist() for i in (0, 1)), strict=True):
-            cut[a:b:MAX_WORD] = True
-        bounds = np.flatnonzero(cut)
         if not len(s):
             bounds = np.zeros(1, np.int64)
         lone = (np.diff(bounds) == 1) & (k[bounds[:-1]] == 0) if len(s) else np.zeros(0, bool)
@@ -117,7 +122,7 @@ class Splitter:
 
 
 def words(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """word, n: the distinct words of all texts, but for characters without a piece, and how often they occur."""
+    """word, n: the distinct words of all texts, but for long ones and characters without a piece, and how often they occur."""
     sent = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches):
@@ -133,7 +138,7 @@ def words(docs: DataFrame, v: Vocabulary) -> DataFrame:
             for part in common.slices(batch, SLICE):
                 w = splitter.split(part.column(0).to_pylist())
                 own, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
-                known = ~w.lone[first]
+                known = ~(w.lone | w.long())[first]
                 for h, i, c in zip(own[known].tolist(), first[known].tolist(), n[known].tolist(), strict=True):
                     if h in counts:
                         counts[h] += c
@@ -237,6 +242,72 @@ class Pieces:
         return out
 
 
+class Folder:
+    """Paths of words of any length, as `merged` and `viterbi` give them for short ones."""
+
+    def __init__(self, v: Vocabulary):
+        self.bpe = v.kind == "bpe"
+        self.order = {p: k for k, (p, _, _) in enumerate(v.pieces)}
+        self.scores = [s for _, _, s in v.pieces]
+        self.kept: dict[str, list[int]] = {}
+        self.size = 0
+
+    def path(self, word: str) -> list[int]:
+        if (path := self.kept.get(word)) is None:
+            path = self.merged(word) if self.bpe else self.viterbi(word)
+            if self.size + len(word) > KEPT:
+                self.kept.clear()
+                self.size = 0
+            if len(word) <= KEPT:
+                self.kept[word] = path
+                self.size += len(word)
+        return path
+
+    def merged(self, word: str) -> list[int]:
+        """The best merge of two neighbours, the leftmost of equal ones, until there is none: n log n by a heap of candidates."""
+        n, order, scores = len(word), self.order, self.scores
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the piece that starts at a place; 0: none does
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int, b: int) -> None:
+            c = end[b]
+            if c - a <= MAX_PIECE and (k := order.get(word[a:c])) is not None:
+                heapq.heappush(heap, (-scores[k], a, b, c))
+
+        for a in range(n - 1):
+            offer(a, a + 1)
+        while heap:
+            _, a, b, c = heapq.heappop(heap)
+            if end[a] != b or end[b] != c:
+                continue
+            end[a], end[b] = c, 0
+            if c < n:
+                before[c] = a
+                offer(a, c)
+            if a:
+                offer(before[a], a)
+        path, a = [], 0
+        while a < n:
+            path.append(order[word[a : end[a]]] if end[a] - a > 1 else -1 - ord(word[a]))
+            a = end[a]
+        return path
+
+    def viterbi(self, word: str) -> list[int]:
+        best, last = [0.0], [(0, 0)]
+        for p in range(1, len(word) + 1):
+            top, by = float("-inf"), (0, 0)
+            for a in range(max(0, p - MAX_PIECE), p):
+                if (k := self.order.get(word[a:p])) is not None and best[a] + self.scores[k] > top:
+                    top, by = best[a] + self.scores[k], (a, k)
+            best.append(top)
+            last.append(by)
+        path, p = [], len(word)
+        while p:
+            p, k = last[p]
+            path.append(k)
+        return path[::-1]
+
+
 class Table:
     """Ids of words by hash: sorted hashes, and each word's run of ids in one array. Made of rows hash, ids."""
 
@@ -272,7 +343,7 @@ class Encoder:
     def __init__(self, v: Vocabulary, table: Table):
         self.splitter, self.pieces, self.table, self.start = Splitter(v), Pieces(v), table, table.starts()
         self.bytes = np.array([v.byte_ids.get(b, 0) for b in range(256)], np.int32)
-        self.decoder = Decoder(v)
+        self.decoder, self.folder = Decoder(v), Folder(v)
 
     def encode(self, texts: list[str | None], rare: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """Offsets of each text's ids, all ids end to end, and whether decoding them gives the texts back."""
@@ -280,8 +351,10 @@ class Encoder:
         own, first, at = np.unique(w.hashes, return_index=True, return_inverse=True)
         row = self.table.rows(own)
         more = np.flatnonzero(row < 0)
-        # runs that the table hasn't got: bytes of characters, and rare words
-        runs = [self.bytes[list(w.word(i).encode("utf-8", "surrogatepass"))] if w.lone[i] else self.pieces.of(np.array(rare[w.word(i)], np.int64)) for i in first[more].tolist()]
+        # runs that the table hasn't got: bytes of characters, long words and rare words
+        long = w.long()
+        path = lambda i: np.array(self.folder.path(w.word(i)) if long[i] else rare[w.word(i)], np.int64)
+        runs = [self.bytes[list(w.word(i).encode("utf-8", "surrogatepass"))] if w.lone[i] else self.pieces.of(path(i)) for i in first[more].tolist()]
         extra = np.array([len(r) for r in runs], np.int64)
         size, start = self.table.size[row].astype(np.int64) if len(self.table.hashes) else np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         if len(self.table.hashes):
@@ -324,8 +397,7 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
     """doc_id, ids, n_pieces, round_trip (decoding gives the text back) for every row of docs.
 
     Null and empty texts have no ids. A literal space mark (U+2581) comes back as a space, so its text has no round trip.
-    Characters without a piece become their UTF-8 bytes' ids. Words of over 48 characters that pieces could span throughout
-    are cut there. Repeated rows each get their row; other columns of docs are ignored. Texts are encoded whole.
+    Characters without a piece become their UTF-8 bytes' ids. Repeated rows each get their row; other columns of docs are ignored. Texts are encoded whole.
     """
     v = v or Vocabulary()
     spark = docs.sparkSession
@@ -371,7 +443,7 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
             for part in common.slices(batch, SLICE):
                 w = splitter.split(part.column(1).to_pylist())
                 own, at = np.unique(w.hashes, return_inverse=True)
-                low = np.flatnonzero((table.rows(own) < 0)[at] & ~w.lone)
+                low = np.flatnonzero((table.rows(own) < 0)[at] & ~w.lone & ~w.long())
                 text = np.searchsorted(w.of_text, low, "right") - 1
                 rows = np.array(part.column(0).to_pylist(), np.int64)[text]
                 once = sorted({(r, w.word(i)) for r, i in zip(rows.tolist(), low.tolist(), strict=True)})

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -43,6 +44,19 @@ def test_odd_texts(spark, vocabulary, library):
     assert all(back[i + 1] == (t or "") for i, t in enumerate(texts) if "▁" not in (t or ""))
 
 
+@pytest.mark.parametrize("hot_words", [sp.HOT_WORDS, 0])
+def test_long_words_equal_the_library(spark, vocabulary, library, hot_words):
+    """Words of over 48 characters without a seam: DNA, rule lines, compounds, and a mix of each with others."""
+    compound = "donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft"
+    r = random.Random(3)
+    texts = ["acgt" * 40, "=" * 130, "th" * 40, compound, f"the {compound} and {'-' * 77} it\n{'_' * 49}", "x" * 3000, " " * 200 + "a"]
+    texts += ["".join(r.choice("acgt") for _ in range(n)) for n in (49, 97, 500, 2000)]
+    texts += ["".join(r.choice("etaoinshr") for _ in range(n)) for n in (48, 60, 300)]
+    got = by_id(sp.encode(documents(spark, texts), vocabulary, hot_words), "ids", "round_trip")
+    for i, t in enumerate(texts):
+        assert (list(got[i + 1][0]), got[i + 1][1]) == (library.encode(t), True), t[:60]
+
+
 def test_empty_table(spark, vocabulary):
     assert sp.encode(spark.createDataFrame([], DOCS), vocabulary).count() == 0
 
@@ -76,3 +90,5 @@ def test_viterbi_of_a_unigram_model(spark):
         want = best_path(r["word"], scores)
         assert "".join(parts) == r["word"] and abs(sum(scores[p] for p in parts) - want[0]) < 1e-9
     assert len(found) == len(words)
+    folder = sp.Folder(v)
+    assert {r["word"]: r["path"] for r in found} == {w: folder.path(w) for w in words}
