@@ -15,6 +15,10 @@ Q = 8
 EDIT_RATE = 0.1
 #: A benchmark text longer than twice this is searched as windows of that many bytes, each half a window after the last.
 WINDOW = 240
+#: Excerpts of PASSAGE bytes are found wherever they begin: they hold two disjoint windows of PART bytes that start at
+#: multiples of STRIDE, and one of these has half of the excerpt's edits at most.
+PART, STRIDE = 110, 11
+PASSAGE = 2 * PART + STRIDE - 1
 #: Characters of benchmark text that one index may hold; a larger benchmark is searched in blocks.
 BLOCK_CHARS = 2_000_000
 BITS = 22
@@ -36,7 +40,11 @@ def grams(b: bytes) -> np.ndarray:
 
 
 class Index:
-    """The windows of a block of benchmark items, by their q-grams."""
+    """The windows of a block of benchmark items, by their q-grams.
+
+    Beside an item's windows, those of over PASSAGE bytes are counted as segments of nearly two parts, each a part after the
+    last, so that every part lies within one; a segment's parts are verified one by one.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.windows, parts = [], []
@@ -48,15 +56,23 @@ class Index:
                 if len(w) >= Q:
                     parts.append((grams(w), len(self.windows)))
                     self.windows.append((item, w))
-        size = np.array([len(w) for _, w in self.windows], np.int64)
+        self.wholes = len(self.windows)
+        for item, text in items:
+            b = normal(text)
+            if len(b) > PASSAGE:
+                for at in range(0, len(b) - PART + 1, PART):
+                    w = b[at : at + 2 * PART - 1]
+                    parts.append((grams(w), len(self.windows)))
+                    self.windows.append((item, w))
+        size = np.array([len(w) if k < self.wholes else PART for k, (_, w) in enumerate(self.windows)], np.int64)
         # the largest budget for which the lemma still asks for a shared q-gram
         self.edits = np.minimum((size * EDIT_RATE).astype(np.int64), (size - Q) // Q)
         self.least = size - Q + 1 - self.edits * Q
         values = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.uint64)
         order = np.argsort(values, kind="stable")
         self.values = values[order]
-        self.window = np.concatenate([np.full(len(g), k) for g, k in parts])[order] if parts else np.zeros(0, np.int64)
-        self.offset = np.concatenate([np.arange(len(g)) for g, _ in parts])[order] if parts else np.zeros(0, np.int64)
+        self.window = np.concatenate([np.full(len(g), k, np.int32) for g, k in parts])[order] if parts else np.zeros(0, np.int64)
+        self.offset = np.concatenate([np.arange(len(g), dtype=np.int32) for g, _ in parts])[order] if parts else np.zeros(0, np.int64)
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.slot(self.values)] = True
 
@@ -65,7 +81,7 @@ class Index:
         return (g * MULT) >> np.uint64(64 - BITS)
 
     def search(self, b: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) in normalised text: for each item the verified region that shares the most q-grams with a window."""
+        """(item, start, end, edits) in normalised text: for each item the verified region of least edits of a window, of a part if there is none."""
         if len(b) < Q or not self.windows:
             return []
         g = grams(b)
@@ -78,7 +94,7 @@ class Index:
         if not total:
             return []
         rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)
-        window = self.window[rows]
+        window = self.window[rows].astype(np.int64)
         width = 2 * self.edits[window] + 1
         band = (np.repeat(at, n) - self.offset[rows]) // width + len(b) + 1
         # bands of two widths, each a width after the last: any 2k + 1 neighbouring diagonals lie within one
@@ -87,27 +103,49 @@ class Index:
         own = np.repeat(at, n), self.offset[rows], window << 32 | band
         found: dict[int, tuple[int, int, int, int]] = {}
         done: set[int] = set()
-        for key in keys[good][np.argsort(-counts[good], kind="stable")].tolist():
+        keys, counts = keys[good], counts[good]
+        for key in keys[np.lexsort((-counts, keys >> 32 >= self.wholes))].tolist():
             k = key >> 32
             item, w = self.windows[k]
-            if k in done or found.get(item, (0, 0, 0, 1))[3] == 0:
+            if k in done or (item in found if k >= self.wholes else found.get(item, (0, 0, 0, 1))[3] == 0):
                 continue
             in_band = (own[2] == key) | (own[2] == key + 1)
+            at, offset = own[0][in_band], own[1][in_band]
             # each q-gram of the window, and each of the text, can be shared only once
-            if min(len(np.unique(own[0][in_band])), len(np.unique(own[1][in_band]))) < self.least[k]:
+            if min(len(np.unique(at)), len(np.unique(offset))) < self.least[k]:
+                continue
+            edits = int(self.edits[k])
+            low = ((key & 0xFFFFFFFF) - len(b) - 1) * (2 * edits + 1)
+            if k < self.wholes:
+                hit = located(w, b, low - edits, 2 * (2 * edits + 1) + 2 * edits, edits)
+                if hit:
+                    done.add(k)
+                    if item not in found or hit[2] < found[item][3]:
+                        found[item] = (item, *hit)
                 continue
-            if (exact := b.find(w)) >= 0:
-                hit = (item, exact, exact + len(w), 0)
-            else:
-                edits = int(self.edits[k])
-                start = ((key & 0xFFFFFFFF) - len(b) - 1) * (2 * edits + 1) - edits
-                hit = (item, *r) if (r := aligned(w, b, start, 2 * (2 * edits + 1) + 2 * edits, edits)) else None
-            if hit:
-                done.add(k)
-                if item not in found or hit[3] < found[item][3]:
-                    found[item] = hit
+            for start in self.starts(k):
+                inside = (offset >= start) & (offset <= start + PART - Q)
+                # indels move an alignment by `edits` diagonals in all, so its shared q-grams lie that near to each other
+                least, diagonals = int(self.least[k]), np.sort(at[inside] - offset[inside])
+                near = np.flatnonzero(diagonals[least - 1 :] - diagonals[: len(diagonals) - least + 1] <= edits) if len(diagonals) >= least else ()
+                if len(near):
+                    first, last = int(diagonals[near[0]]), int(diagonals[near[-1] + least - 1])
+                    if hit := located(w[start : start + PART], b, first + start - edits, last - first + 1 + 2 * edits, edits):
+                        found[item] = (item, *hit)
+                        break
         return sorted(found.values())
 
+    def starts(self, k: int) -> list[int]:
+        """Where the parts of a segment start: each STRIDE bytes, and the last at its end."""
+        last = len(self.windows[k][1]) - PART
+        return [*range(0, last, STRIDE), last]
+
+
+def located(w: bytes, b: bytes, start: int, width: int, most: int) -> tuple[int, int, int] | None:
+    """`aligned`, after a search for w as it stands."""
+    exact = b.find(w)
+    return (exact, exact + len(w), 0) if exact >= 0 else aligned(w, b, start, width, most)
+
 
 def aligned(w: bytes, b: bytes, start: int, width: int, most: int) -> tuple[int, int, int] | None:
     """Start, end and edits of the best occurrence of w in b on diagonals start .. start + width, if it has at most `most` edits."""
@@ -171,7 +209,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, edits: a row for each document and each benchmark item that it holds within the edit budget.
 
     start and end are code points of the document's own text. Null, empty and very short texts (under 8 normalised bytes)
-    hold nothing and are held by nothing; an empty benchmark gives no rows. An item's null id becomes -1. Repeated rows
+    hold nothing and are held by nothing; an empty benchmark gives no rows. An item is held if its whole (up to 480
+    normalised bytes) or a window of 240 (above) is, within 10 % edits; and, if it is longer than 230, if any excerpt of it of
+    230 normalised bytes or more is, wherever it begins, within 23 edits: start and end are then those of 110 bytes of it. An item's null id becomes -1. Repeated rows
     each give their rows. Other columns are ignored. Texts are searched whole.
     """
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs.sparkSession.createDataFrame([], HITS)

@@ -61,6 +61,20 @@ def test_part_of_a_long_item(spark):
     assert [f[0] for f in Index([(1, item)]).search(normal("start " + item[300:700] + " end"))] == [1]
 
 
+@pytest.mark.parametrize(("size", "length", "edits"), [(470, 240, 0), (470, 240, 23), (500, 240, 0), (500, 270, 23), (900, 240, 23), (384, 230, 0), (384, 230, 23)])
+def test_excerpts_at_every_offset(size, length, edits):
+    r = random.Random(size + length + edits)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 9)))
+    item = normal(" ".join(word() for _ in range(size)))[:size].decode()
+    around = " ".join(word() for _ in range(40))
+    index = Index([(1, item), (2, " ".join(word() for _ in range(60)))])
+    for at in range(len(item) - length + 1):
+        s = list(item[at : at + length])
+        for i in r.sample(range(length), edits):
+            s[i] = r.choice(("", "z", s[i] + "q"))
+        assert [f[0] for f in index.search(normal(f"{around} {''.join(s)} {around}"))] == [1], at
+
+
 def test_empty_tables_and_blocks(spark, monkeypatch):
     docs, bench = documents(spark, [ITEM]), spark.createDataFrame([(7, ITEM), (8, ITEM[::-1])], "item_id long, text string")
     assert decontaminate.hits(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == 1
