@@ -13,6 +13,8 @@ from . import common
 DIM = 8192
 #: Labelled rows that the classifier is fitted on, at most, for each language.
 MAX_PER_LANG = 400
+#: Languages that the classifier knows, at most: those of the most rows.
+MAX_LANGS = 1000
 CLUSTERS = 4
 #: Letters of the shortened texts that the rejection distance is fitted on, beside whole texts.
 LENGTHS = (16, 64, 256)
@@ -77,13 +79,16 @@ def size_class(n: int) -> int:
     return sum(n >= 2 * x for x in LENGTHS)
 
 
-def sampled(docs: DataFrame, max_per_lang: int) -> DataFrame:
-    """Training rows: about max_per_lang of each language by a hash of id and text, and never more than twice that in all."""
+def sampled(docs: DataFrame, max_per_lang: int, max_langs: int = MAX_LANGS) -> DataFrame:
+    """Training rows: about max_per_lang of each language by a hash of id and text, and never more than twice that in all.
+
+    Of more than max_langs languages those with the most rows are taken (ties by name); rows of the rest take no part.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     share = rows.groupBy("lang").agg((F.lit(1e6 * max_per_lang) / F.count("*")).alias("share"))
     mark = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(1_000_000))
     spark = docs.sparkSession
-    shares = {r["lang"]: r["share"] for r in share.orderBy(F.desc("share")).limit(1000).collect()}
+    shares = {r["lang"]: r["share"] for r in share.orderBy("share", "lang").limit(max_langs).collect()}
     if not shares:
         return rows.limit(0)
     of = spark.createDataFrame(list(shares.items()), "lang string, share double")
@@ -94,8 +99,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, clusters: int = CLUSTERS) -> Model:
-    """Fit on a bounded sample of labelled rows that aren't held out; without any, the model knows no language and predicts `und`."""
+def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, clusters: int = CLUSTERS, max_langs: int = MAX_LANGS) -> Model:
+    """Fit on a bounded sample of labelled rows that aren't held out; without any, the model knows no language and predicts `und`.
+
+    The model knows the max_langs languages with the most rows: a text of another gets the nearest of them, or is rejected.
+    """
 
     def make():
         def run(x):
@@ -112,7 +120,7 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, clusters: int = CLUST
 
         return run
 
-    rows = common.by_batch(sampled(docs, max_per_lang), make, "lang string, size int, at array<int>, n array<int>").toArrow()
+    rows = common.by_batch(sampled(docs, max_per_lang, max_langs), make, "lang string, size int, at array<int>, n array<int>").toArrow()
     rows = [{"lang": lang, "size": size, "at": at.values.to_numpy(), "n": n.values.to_numpy()} for lang, size, at, n in zip(*(rows.column(i).to_pylist() if i < 2 else rows.column(i) for i in range(4)), strict=True)]
     rows.sort(key=lambda r: (r["lang"], r["size"], len(r["at"]), r["at"].tobytes(), r["n"].tobytes()))
     whole = [r for r in rows if r["size"] < 0]

@@ -57,6 +57,15 @@ def test_without_labels(spark):
     assert language_id.predict(empty, language_id.fit(empty)).count() == 0
 
 
+def test_frequent_languages_come_first(spark):
+    """Over 1,000 rare labels, as junk tags are, don't push a language out."""
+    rows = [(i, f"text {i}", "en", "s", 0) for i in range(60)] + [(100 + i, f"text {i}", f"x{i}", "s", 0) for i in range(1600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    langs = [r["lang"] for r in language_id.sampled(docs, 400).collect()]
+    assert langs.count("en") > 30 and len(set(langs)) == language_id.MAX_LANGS
+    assert {r["lang"] for r in language_id.sampled(docs, 400, 1).collect()} == {"en"}
+
+
 def test_accuracy_on_the_synthetic_table(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     got = language_id.query(spark, sf_dir).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
