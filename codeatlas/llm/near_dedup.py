@@ -203,6 +203,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     `in_blocks`; small ones by the pairs whose ends are in different components and not in one crowd. So no pair of a
     bucket goes untested unless its ends are already connected.
     A null, empty or blank text has an empty set, no links and is its own component. Repeated rows are copies of each other.
+    Rows with a null doc_id link others as any row does; they are kept only if no row of their component has an id, and the
+    component's id is null then.
     Other columns of docs are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -212,9 +214,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("centre")).filter("n > 1")
     members = common.cut(rows.join(shared, "key").select("key", "cid", "n", "centre"), "members")
 
-    wanted = members.select("cid").distinct().join(classes, "cid").select(F.col("least").alias("doc_id"))
+    wanted = members.select("cid").distinct().join(classes, "cid").select("cid", F.col("least").alias("doc_id"))
     wanted = common.cut(wanted, "wanted")
-    full = common.cut(sets(common.by_ids(docs, wanted, "left_semi")).dropDuplicates(["cid"]), "sets")
+    own = sets(common.by_ids(docs, wanted.filter("doc_id is not null").select("doc_id"), "left_semi"))
+    nameless = wanted.filter("doc_id is null").select("cid")
+    if not nameless.isEmpty():  # sets that only rows without an id hold
+        own = own.unionByName(sets(docs.filter("doc_id is null")).join(nameless, "cid", "left_semi"))
+    full = common.cut(own.dropDuplicates(["cid"]), "sets")
 
     tested = members.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
     labels = components(linked(tested, full))
@@ -238,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = found.join(least, "label").select("cid", "component_id")
     out = signed.select("doc_id", "n_shingles", "cid").join(of, "cid", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -246,6 +252,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the least doc_id; of rows that repeat it, all stay."""
+    """One document of each group stays: the least doc_id; of rows that repeat it, all stay, as do rows with a null doc_id."""
     gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return common.by_ids(docs, common.cut(gone, "gone"), "left_anti")

@@ -65,6 +65,16 @@ def test_odd_texts(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark):
+    """Documents 1 and 2 are 0.72 alike; each is 0.86 like a text that only rows with a null id hold."""
+    w = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(w[14:])), (None, " ".join(w)), (None, " ".join(w)), (2, " ".join(w[:-14])), (None, "all alone here"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (2, 1, False), (None, 1, False), (None, 1, False), (None, None, True), (None, None, True)], key=str)
+    assert near_dedup.near_duplicates(df.filter("doc_id is null")).filter("kept").count() == 4
+
+
 def test_stage_keeps_one_of_a_group(spark):
     kept = near_dedup.stage(spark, documents(spark, ["a b c d e", "a b c d e", "other words are here now", None], extra=True), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4] and "cid" in kept.columns
