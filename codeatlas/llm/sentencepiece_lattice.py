@@ -22,14 +22,15 @@ from .near_dedup import mixed
 #: A public model: BPE with byte fallback, identity normalisation, a space put before the text.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Longest piece, and longest word that is folded in one state word; longer ones without a seam are folded by `Folder`.
-MAX_PIECE, MAX_WORD = 16, 48
-#: Words whose ids are broadcast, at most: the most frequent (about 20 bytes each). All others are joined.
-HOT_WORDS = 4_000_000
+#: Longest word that is folded in one state word; longer ones without a seam are folded by `Folder`.
+MAX_WORD = 48
+#: Words whose ids are broadcast, at most: the most frequent (about 20 bytes each), and how many of them the driver holds
+#: at once. All others are joined.
+HOT_WORDS, SHARD = 4_000_000, 250_000
 #: Characters of long words whose paths a task keeps.
 KEPT = 1 << 20
-#: Distinct words that a task counts before it passes them on, and bytes of text that it takes at once.
-FLUSH, SLICE = 250_000, 1 << 20
+#: Distinct words that a task counts before it passes them on, and bytes of text that it counts and encodes at once.
+FLUSH, SLICE, ENCODED = 250_000, 1 << 20, 1 << 18
 #: Words of a task whose edges are grouped in memory; a task with more sorts them.
 GROUPED = 500_000
 LOW = (1 << 6) - 1
@@ -46,7 +47,7 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         own = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         found = [(model.id_to_piece(i), i, model.get_score(i)) for i in own]
-        self.set([p for p in found if len(p[0]) <= MAX_PIECE], kind, {b: model.piece_to_id(f"<0x{b:02X}>") for b in range(256)})
+        self.set(found, kind, {b: model.piece_to_id(f"<0x{b:02X}>") for b in range(256)})
 
     @classmethod
     def of(cls, pieces: list[tuple[str, int, float]], kind: str, byte_ids: dict[int, int]) -> Vocabulary:
@@ -57,6 +58,7 @@ class Vocabulary:
     def set(self, pieces, kind, byte_ids) -> None:
         self.kind, self.byte_ids = kind, byte_ids
         self.pieces = sorted(pieces, key=lambda p: (-p[2], p[1]))
+        self.longest = max((len(p) for p, _, _ in self.pieces), default=1)
         self.chars = sorted({c for p, _, _ in self.pieces for c in p} & {p for p, _, _ in self.pieces})
         at = {c: i + 1 for i, c in enumerate(self.chars)}
         n = len(self.chars) + 1
@@ -212,7 +214,7 @@ def lattice(found: DataFrame, v: Vocabulary) -> DataFrame:
     size, least = F.length("word"), 2 if v.kind == "bpe" else 1
     edges = found.withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
     # the single character at the start keeps words without longer pieces
-    lengths = F.sequence(F.when(F.col("s") == 0, 1).otherwise(F.lit(least)), F.least(F.lit(MAX_PIECE), F.length("word") - F.col("s")))
+    lengths = F.sequence(F.when(F.col("s") == 0, 1).otherwise(F.lit(least)), F.least(F.lit(v.longest), F.length("word") - F.col("s")))
     edges = edges.filter(F.length("word") - F.col("s") >= F.when(F.col("s") == 0, 1).otherwise(F.lit(least))).withColumn("m", F.explode(lengths))
     edges = edges.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("m")))
     small = len(v.pieces) <= common.BROADCAST_ROWS
@@ -246,7 +248,7 @@ class Folder:
     """Paths of words of any length, as `merged` and `viterbi` give them for short ones."""
 
     def __init__(self, v: Vocabulary):
-        self.bpe = v.kind == "bpe"
+        self.bpe, self.longest = v.kind == "bpe", v.longest
         self.order = {p: k for k, (p, _, _) in enumerate(v.pieces)}
         self.scores = [s for _, _, s in v.pieces]
         self.kept: dict[str, list[int]] = {}
@@ -271,7 +273,7 @@ class Folder:
 
         def offer(a: int, b: int) -> None:
             c = end[b]
-            if c - a <= MAX_PIECE and (k := order.get(word[a:c])) is not None:
+            if c - a <= self.longest and (k := order.get(word[a:c])) is not None:
                 heapq.heappush(heap, (-scores[k], a, b, c))
 
         for a in range(n - 1):
@@ -296,7 +298,7 @@ class Folder:
         best, last = [0.0], [(0, 0)]
         for p in range(1, len(word) + 1):
             top, by = float("-inf"), (0, 0)
-            for a in range(max(0, p - MAX_PIECE), p):
+            for a in range(max(0, p - self.longest), p):
                 if (k := self.order.get(word[a:p])) is not None and best[a] + self.scores[k] > top:
                     top, by = best[a] + self.scores[k], (a, k)
             best.append(top)
@@ -313,15 +315,12 @@ class Table:
 
     def __init__(self, rows: pa.Table):
         hashes = rows.column("hash").to_numpy().view(np.uint64)
-        lists = pa.concat_arrays(rows.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))])
+        lists = rows.column("ids").combine_chunks()
         start, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
         order = np.argsort(hashes)
         self.hashes, self.size = hashes[order], np.diff(start)[order].astype(np.uint8)
         self.ids = gathered(start[:-1][order], np.diff(start)[order], ids).astype(np.min_scalar_type(int(ids.max(initial=0))))
 
-    def starts(self) -> np.ndarray:
-        return (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.int32)
-
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash; -1 if it isn't there."""
         if not len(self.hashes):
@@ -330,6 +329,26 @@ class Table:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
+class Tables:
+    """Tables of equal ranges of the hashes, each a broadcast of its own."""
+
+    def __init__(self, parts: list[Table]):
+        self.parts = parts
+        self.starts = [(np.cumsum(t.size, dtype=np.int64) - t.size).astype(np.int32) for t in parts]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted distinct hashes: whether each is there, the numbers of ids of those that are, and their ids end to end."""
+        found, size, flat = [], [], []
+        ends = np.searchsorted(hashes, np.array([(k << 64) // len(self.parts) for k in range(1, len(self.parts))], np.uint64))
+        for part, start, own in zip(self.parts, self.starts, np.split(hashes, ends), strict=True):
+            row = part.rows(own)
+            found.append(row >= 0)
+            row = row[row >= 0]
+            size.append(part.size[row].astype(np.int64))
+            flat.append(gathered(start[row], part.size[row], part.ids).astype(np.int32))
+        return np.concatenate(found), np.concatenate(size), np.concatenate(flat)
+
+
 def gathered(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The runs flat[start : start + size], end to end."""
     size = size.astype(np.int64)
@@ -338,10 +357,10 @@ def gathered(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarra
 
 
 class Encoder:
-    """Ids of texts from the table's words, the given rare words, and the bytes of characters without a piece."""
+    """Ids of texts from the tables' words, the given rare words, and the bytes of characters without a piece."""
 
-    def __init__(self, v: Vocabulary, table: Table):
-        self.splitter, self.pieces, self.table, self.start = Splitter(v), Pieces(v), table, table.starts()
+    def __init__(self, v: Vocabulary, tables: Tables):
+        self.splitter, self.pieces, self.tables = Splitter(v), Pieces(v), tables
         self.bytes = np.array([v.byte_ids.get(b, 0) for b in range(256)], np.int32)
         self.decoder, self.folder = Decoder(v), Folder(v)
 
@@ -349,21 +368,18 @@ class Encoder:
         """Offsets of each text's ids, all ids end to end, and whether decoding them gives the texts back."""
         w = self.splitter.split(texts)
         own, first, at = np.unique(w.hashes, return_index=True, return_inverse=True)
-        row = self.table.rows(own)
-        more = np.flatnonzero(row < 0)
-        # runs that the table hasn't got: bytes of characters, long words and rare words
-        long = w.long()
-        path = lambda i: np.array(self.folder.path(w.word(i)) if long[i] else rare[w.word(i)], np.int64)
-        runs = [self.bytes[list(w.word(i).encode("utf-8", "surrogatepass"))] if w.lone[i] else self.pieces.of(path(i)) for i in first[more].tolist()]
+        there, sizes, flat = self.tables.find(own)
+        # runs that the tables haven't got: bytes of characters, long words and rare words
+        long, runs = w.long(), []
+        for i in first[~there].tolist():
+            if w.lone[i]:
+                runs.append(self.bytes[list(w.word(i).encode("utf-8", "surrogatepass"))])
+            else:
+                runs.append(self.pieces.of(np.array(self.folder.path(w.word(i)), np.int64)) if long[i] else np.array(rare[w.word(i)], np.int32))
         extra = np.array([len(r) for r in runs], np.int64)
-        size, start = self.table.size[row].astype(np.int64) if len(self.table.hashes) else np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-        if len(self.table.hashes):
-            start[:] = self.start[row]
-        size[more] = extra
-        flat = gathered(start[row >= 0], size[row >= 0], self.table.ids).astype(np.int32)
-        place = np.zeros(len(row), np.int64)
-        place[row >= 0] = np.cumsum(size[row >= 0]) - size[row >= 0]
-        place[more] = len(flat) + np.cumsum(extra) - extra
+        size, place = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        size[there], size[~there] = sizes, extra
+        place[there], place[~there] = np.cumsum(sizes) - sizes, len(flat) + np.cumsum(extra) - extra
         flat = np.concatenate((flat, *runs))
         ids = gathered(place[at], size[at], flat)
         ends = np.concatenate(([0], np.cumsum(size[at])))[w.of_text]
@@ -402,20 +418,6 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
     v = v or Vocabulary()
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("row"))
-    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, str(GROUPED))
-    try:
-        found = common.cut(lattice(words(docs, v), v), "words")
-    finally:
-        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
-    # the least count that at most hot_words words reach
-    least, total = 1, 0
-    for r in sorted(found.groupBy("n").count().collect(), reverse=True):
-        total += r["count"]
-        if total > hot_words:
-            least = r["n"] + 1
-            break
     own = spark.sparkContext.broadcast(v)
 
     def hashed(batches):
@@ -425,25 +427,45 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
                 text = part.column(0).to_pylist()
                 codes = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)
                 hashes = splitter.hashes(codes, np.concatenate(([0], np.cumsum([len(w) for w in text], dtype=np.int64))))
-                paths = part.column(1)
+                paths = part.column(2)
                 ends = paths.offsets.to_numpy()
                 ids = pieces.of(paths.values.to_numpy()[ends[0] : ends[-1]])
                 lists = pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), lists], ["hash", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes.view(np.int64)), lists], ["word", "n", "hash", "ids"])
 
-    hot = common.mapped(found.filter(F.col("n") >= least).select("word", "path"), hashed, "hash long, ids array<int>").toArrow()
-    sent = spark.sparkContext.broadcast((v, Table(hot)))
-    del hot
-    common.release()
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(GROUPED))
+    try:
+        found = common.cut(common.mapped(lattice(words(docs, v), v).select("word", "n", "path"), hashed, "word string, n long, hash long, ids array<int>"), "words")
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    # the least count that at most hot_words words reach
+    least, hot = 1, 0
+    for r in sorted(found.groupBy("n").count().collect(), reverse=True):
+        if hot + r["count"] > hot_words:
+            least = r["n"] + 1
+            break
+        hot += r["count"]
+    # the driver holds one range of hashes at a time; a range of 2 ** 64 / shards, as signed numbers
+    shards = max(1, -(-hot // SHARD))
+    common_words, sent = found.filter(F.col("n") >= least).select("hash", "ids"), []
+    for k in range(shards):
+        lo, hi = ((j << 64) // shards for j in (k, k + 1))
+        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+        inside = F.col("hash").between(signed(lo), signed(hi - 1))
+        if lo < 1 << 63 < hi:  # the range passes from the greatest signed number to the least
+            inside = (F.col("hash") >= lo) | (F.col("hash") <= signed(hi - 1))
+        sent.append(spark.sparkContext.broadcast(Table(common_words.filter(inside).toArrow())))
+        common.release()
 
     def rare(batches):
-        v, table = sent.value
-        splitter = Splitter(v)
+        tables, splitter = Tables([t.value for t in sent]), Splitter(own.value)
         for batch in batches:
             for part in common.slices(batch, SLICE):
                 w = splitter.split(part.column(1).to_pylist())
-                own, at = np.unique(w.hashes, return_inverse=True)
-                low = np.flatnonzero((table.rows(own) < 0)[at] & ~w.lone & ~w.long())
+                distinct, at = np.unique(w.hashes, return_inverse=True)
+                low = np.flatnonzero(~tables.find(distinct)[0][at] & ~w.lone & ~w.long())
                 text = np.searchsorted(w.of_text, low, "right") - 1
                 rows = np.array(part.column(0).to_pylist(), np.int64)[text]
                 once = sorted({(r, w.word(i)) for r, i in zip(rows.tolist(), low.tolist(), strict=True)})
@@ -457,27 +479,26 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, hot_words: int = HOT_WO
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], ["doc_id", "row", "packed"])
 
     def run(batches):
-        encoder, unpack = Encoder(*sent.value), zstandard.ZstdDecompressor()
+        encoder, unpack = Encoder(own.value, Tables([t.value for t in sent])), zstandard.ZstdDecompressor()
         for batch in batches:
             # packed texts are a third of their size
-            for part in common.slices(batch, SLICE // 3 if least > 1 else SLICE):
+            for part in common.slices(batch, ENCODED // 3 if least > 1 else ENCODED):
                 texts = part.column(1).to_pylist()
                 if least > 1:
                     texts = [None if t is None else unpack.decompress(t).decode("utf-8", "surrogatepass") for t in texts]
-                words = {x["word"]: x["path"] for got in part.column(2).to_pylist() for x in got or ()}
+                words = {x["word"]: x["ids"] for got in part.column(2).to_pylist() for x in got or ()}
                 ends, ids, same = encoder.encode(texts, words)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "round_trip"])
 
-    kind = "array<struct<word:string,path:array<int>>>"
     if least > 1:
-        own = common.mapped(docs.select("row", "text"), rare, "row long, word string").join(found.filter(F.col("n") < least).select("word", "path"), "word")
-        own = own.groupBy("row").agg(F.collect_list(F.struct("word", "path")).alias("found"))
+        met = common.mapped(docs.select("row", "text"), rare, "row long, word string").join(found.filter(F.col("n") < least).select("word", "ids"), "word")
+        met = met.groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("found"))
         # texts are shuffled to meet their rare words, so they go compressed
         rows = common.mapped(docs.select("doc_id", "row", "text"), packed, "doc_id long, row long, packed binary")
-        rows = rows.join(own, "row", "left").select("doc_id", "packed", "found")
+        rows = rows.join(met, "row", "left").select("doc_id", "packed", "found")
     else:
-        rows = docs.select("doc_id", "text", F.lit(None).cast(kind).alias("found"))
+        rows = docs.select("doc_id", "text", F.lit(None).cast("array<struct<word:string,ids:array<int>>>").alias("found"))
     return common.mapped(rows, run, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 

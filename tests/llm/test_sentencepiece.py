@@ -23,11 +23,11 @@ def library():
 
 @pytest.mark.parametrize("hot_words", [sp.HOT_WORDS, 3])
 def test_ids_equal_the_library(spark, sf_dir, vocabulary, library, hot_words):
-    """With the words in the broadcast table, and with nearly all of them joined."""
-    texts = {r["doc_id"]: r["text"] for r in common.table(spark, sf_dir, "documents").limit(60).collect()}
-    own = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)
+    """All documents: with the words in the broadcast tables, and with nearly all of them joined."""
+    own = common.table(spark, sf_dir, "documents")
+    texts = {r["doc_id"]: r["text"] for r in own.collect()}
     got = by_id(sp.encode(own, vocabulary, hot_words), "ids", "round_trip")
-    assert {i: list(x) for i, (x, _) in got.items()} == {i: library.encode(t) for i, t in texts.items()}
+    assert {i: list(x) for i, (x, _) in got.items()} == {i: library.encode(t or "") for i, t in texts.items()}
     assert all(same for _, same in got.values())
 
 
@@ -38,8 +38,7 @@ def test_odd_texts(spark, vocabulary, library):
     for i, t in enumerate(texts):
         ids, n, same = got[i + 1]
         assert n == len(ids) and same == ("▁" not in (t or ""))
-        if len(t or "") < 1000:
-            assert list(ids) == library.encode(t or ""), t
+        assert list(ids) == library.encode(t or ""), (t or "")[:60]
     back = by_id(sp.decode(sp.encode(documents(spark, texts), vocabulary), vocabulary), "text")
     assert all(back[i + 1] == (t or "") for i, t in enumerate(texts) if "▁" not in (t or ""))
 
@@ -57,6 +56,25 @@ def test_long_words_equal_the_library(spark, vocabulary, library, hot_words):
         assert (list(got[i + 1][0]), got[i + 1][1]) == (library.encode(t), True), t[:60]
 
 
+def test_shards(spark, sf_dir, vocabulary, library, monkeypatch):
+    """Words broadcast in several ranges of their hashes, some of them empty, texts encoded a few at a time."""
+    monkeypatch.setattr(sp, "SHARD", 7)
+    monkeypatch.setattr(sp, "ENCODED", 2000)
+    texts = ["a few words to share", "more of the few words", "", "wordlets alone", "ever more words come " * 300]
+    got = by_id(sp.encode(documents(spark, texts), vocabulary), "ids")
+    assert {i: list(x) for i, x in got.items()} == {i + 1: library.encode(t) for i, t in enumerate(texts)}
+
+
+def test_pieces_of_any_length(spark):
+    """The longest piece comes from the model: one of over 16 characters, and one of over a state word."""
+    a, b = "abcdefghijklmnopqrst", "x" * 60
+    scores = {c: -9.0 for c in {*a, *b}} | {a: -1.0, b: -2.0}
+    v = sp.Vocabulary.of([(p, i + 10, s) for i, (p, s) in enumerate(scores.items())], "unigram", {})
+    found = sp.lattice(spark.createDataFrame([(a, 1), (a + "a", 1)], "word string, n long"), v).collect()
+    assert {r["word"]: [v.pieces[k][0] for k in r["path"]] for r in found} == {a: [a], a + "a": [a, "a"]}
+    assert [v.pieces[k][0] for k in sp.Folder(v).path(b + "x")] in ([b, "x"], ["x", b])
+
+
 def test_empty_table(spark, vocabulary):
     assert sp.encode(spark.createDataFrame([], DOCS), vocabulary).count() == 0
 
