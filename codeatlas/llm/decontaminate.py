@@ -21,6 +21,10 @@ PART, STRIDE = 110, 11
 PASSAGE = 2 * PART + STRIDE - 1
 #: Characters of benchmark text that one index may hold; a larger benchmark is searched in blocks.
 BLOCK_CHARS = 2_000_000
+#: Texts are searched in pieces of so many bytes; each goes on for more bytes than any window has with its edits.
+PIECE, OVERLAP = 1 << 14, 600
+#: Shared q-grams that are counted at once.
+COUNTED = 1 << 18
 BITS = 22
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -39,40 +43,54 @@ def grams(b: bytes) -> np.ndarray:
     return x
 
 
+def expanded(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers start, start + 1 ... of each run end to end, and the run of each."""
+    size = size.astype(np.int64)
+    run = np.repeat(np.arange(len(size)), size)
+    return (start.astype(np.int64) - np.cumsum(size) + size)[run] + np.arange(int(size.sum())), run
+
+
 class Index:
-    """The windows of a block of benchmark items, by their q-grams.
+    """The windows of a block of benchmark items, by their q-grams; equal windows of an item are one.
 
     Beside an item's windows, those of over PASSAGE bytes are counted as segments of nearly two parts, each a part after the
-    last, so that every part lies within one; a segment's parts are verified one by one.
+    last, so that every part lies within one; a segment's parts are verified one by one. A q-gram that a window repeats at
+    offsets not further apart than a band's width is one run of offsets: such a run meets a range of bands.
     """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.windows, parts = [], []
+        self.windows = []
+        whole, segments = {}, {}
         for item, text in items:
             b = normal(text)
             starts = [0] if len(b) <= 2 * WINDOW else [*range(0, len(b) - WINDOW, WINDOW // 2), len(b) - WINDOW]
             for at in starts:
-                w = b if len(starts) == 1 else b[at : at + WINDOW]
-                if len(w) >= Q:
-                    parts.append((grams(w), len(self.windows)))
-                    self.windows.append((item, w))
-        self.wholes = len(self.windows)
-        for item, text in items:
-            b = normal(text)
+                whole[item, b if len(starts) == 1 else b[at : at + WINDOW]] = None
             if len(b) > PASSAGE:
                 for at in range(0, len(b) - PART + 1, PART):
-                    w = b[at : at + 2 * PART - 1]
-                    parts.append((grams(w), len(self.windows)))
-                    self.windows.append((item, w))
+                    segments[item, b[at : at + 2 * PART - 1]] = None
+        self.windows = [w for w in whole if len(w[1]) >= Q]
+        self.wholes = len(self.windows)
+        self.windows += segments
         size = np.array([len(w) if k < self.wholes else PART for k, (_, w) in enumerate(self.windows)], np.int64)
         # the largest budget for which the lemma still asks for a shared q-gram
         self.edits = np.minimum((size * EDIT_RATE).astype(np.int64), (size - Q) // Q)
         self.least = size - Q + 1 - self.edits * Q
-        values = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.uint64)
+        self.width = 2 * self.edits + 1
+        parts = [grams(w) for _, w in self.windows]
+        values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         order = np.argsort(values, kind="stable")
-        self.values = values[order]
-        self.window = np.concatenate([np.full(len(g), k, np.int32) for g, k in parts])[order] if parts else np.zeros(0, np.int64)
-        self.offset = np.concatenate([np.arange(len(g), dtype=np.int32) for g, _ in parts])[order] if parts else np.zeros(0, np.int64)
+        values = values[order]
+        window = np.repeat(np.arange(len(parts), dtype=np.int32), [len(g) for g in parts])[order] if parts else np.zeros(0, np.int32)
+        offset = np.concatenate([np.arange(len(g), dtype=np.int32) for g in parts])[order] if parts else np.zeros(0, np.int32)
+        new = np.ones(len(values), bool)
+        new[1:] = (values[1:] != values[:-1]) | (window[1:] != window[:-1]) | (np.diff(offset) > self.width[window[1:]])
+        first = np.flatnonzero(new)
+        # of each run: its window, first and last offset, and number of offsets; of each value: where its runs start
+        self.window, self.first, self.size = window[first], offset[first], np.diff(np.append(first, len(values))).astype(np.int32)
+        self.last = offset[first + self.size - 1]
+        self.values, at = np.unique(values[first], return_index=True)
+        self.runs = np.append(at, len(first)).astype(np.int64)
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.slot(self.values)] = True
 
@@ -82,58 +100,84 @@ class Index:
 
     def search(self, b: bytes) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) in normalised text: for each item the verified region of least edits of a window, of a part if there is none."""
-        if len(b) < Q or not self.windows:
+        found: dict[int, tuple[int, int, int, int]] = {}
+        parts: dict[int, tuple[int, int, int, int]] = {}
+        for at in range(0, max(1, len(b) - OVERLAP), PIECE):
+            self.search_piece(b[at : at + PIECE + OVERLAP], at, found, parts)
+        return sorted((parts | found).values())
+
+    def search_piece(self, b: bytes, begin: int, found: dict, parts: dict) -> None:
+        for k, low, high in self.candidates(b):
+            item, w = self.windows[k]
+            edits, best = int(self.edits[k]), found.get(item)
+            if best and (k >= self.wholes or best[3] == 0):
+                continue
+            if k < self.wholes:
+                hit = located(w, b, low - edits, high - low + 1 + 2 * edits, edits)
+                if hit and (not best or hit[2] < best[3]):
+                    found[item] = (item, hit[0] + begin, hit[1] + begin, hit[2])
+            elif item not in parts:
+                shared = np.isin(grams(w), grams(b[max(0, low - edits) : max(0, high + len(w) + edits)]))
+                n = np.concatenate(([0], np.cumsum(shared)))
+                for start in self.starts(k):
+                    if n[start + PART - Q + 1] - n[start] >= self.least[k]:
+                        if hit := located(w[start : start + PART], b, low + start - edits, high - low + 1 + 2 * edits, edits):
+                            parts[item] = (item, hit[0] + begin, hit[1] + begin, hit[2])
+                            break
+
+    def candidates(self, b: bytes) -> list[tuple[int, int, int]]:
+        """(window, lowest diagonal, highest diagonal) of the neighbouring bands with enough shared q-grams; wholes first, most shared first.
+
+        A diagonal is the place in b where the window starts. An occurrence uses as many different offsets of the window
+        as different places of the text, so windows with too few offsets that b shares at all go first, and then bands
+        in which too few places share a q-gram.
+        """
+        if len(b) < Q or not len(self.values):
             return []
         g = grams(b)
         at = np.flatnonzero(self.seen[self.slot(g)])
+        row = np.minimum(np.searchsorted(self.values, g[at]), len(self.values) - 1)
+        same = self.values[row] == g[at]
+        at, row = at[same], row[same]
         if not len(at):
             return []
-        lo = np.searchsorted(self.values, g[at], "left")
-        n = np.searchsorted(self.values, g[at], "right") - lo
-        total = int(n.sum())
-        if not total:
+        present, of = np.unique(row, return_inverse=True)
+        run, owner = expanded(self.runs[present], self.runs[present + 1] - self.runs[present])
+        windows, own = np.unique(self.window[run], return_inverse=True)
+        enough = np.bincount(own, self.size[run]) >= self.least[windows]
+        kept = enough[own]
+        run, owner = run[kept], owner[kept]
+        if not len(run):
             return []
-        rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(total)
-        window = self.window[rows].astype(np.int64)
-        width = 2 * self.edits[window] + 1
-        band = (np.repeat(at, n) - self.offset[rows]) // width + len(b) + 1
-        # bands of two widths, each a width after the last: any 2k + 1 neighbouring diagonals lie within one
-        keys, counts = np.unique(np.concatenate((window << 32 | band, window << 32 | (band - 1))), return_counts=True)
+        size = np.bincount(owner, minlength=len(present))
+        start, n = (np.cumsum(size) - size)[of], size[of]
+        found, done, ends = [], 0, np.cumsum(n)
+        while done < len(at):
+            # places whose runs make up COUNTED, one at least
+            stop = max(done + 1, int(np.searchsorted(ends, ends[done] - n[done] + COUNTED, "right")))
+            row, place = expanded(start[done:stop], n[done:stop])
+            place, row, done = at[done:stop][place], run[row], stop
+            window = self.window[row].astype(np.int64)
+            width = self.width[window]
+            # bands of two widths, each a width after the last: any 2k + 1 neighbouring diagonals lie within one
+            low = (place - self.last[row]) // width - 1
+            band, which = expanded(low, (place - self.first[row]) // width - low + 1)
+            found.append(np.unique(window[which] << 32 | (band + (1 << 16)), return_counts=True))
+        keys, counts = found[0]
+        if len(found) > 1:
+            keys, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([c for _, c in found])).astype(np.int64)
         good = counts >= self.least[keys >> 32]
-        own = np.repeat(at, n), self.offset[rows], window << 32 | band
-        found: dict[int, tuple[int, int, int, int]] = {}
-        done: set[int] = set()
         keys, counts = keys[good], counts[good]
-        for key in keys[np.lexsort((-counts, keys >> 32 >= self.wholes))].tolist():
-            k = key >> 32
-            item, w = self.windows[k]
-            if k in done or (item in found if k >= self.wholes else found.get(item, (0, 0, 0, 1))[3] == 0):
-                continue
-            in_band = (own[2] == key) | (own[2] == key + 1)
-            at, offset = own[0][in_band], own[1][in_band]
-            # each q-gram of the window, and each of the text, can be shared only once
-            if min(len(np.unique(at)), len(np.unique(offset))) < self.least[k]:
-                continue
-            edits = int(self.edits[k])
-            low = ((key & 0xFFFFFFFF) - len(b) - 1) * (2 * edits + 1)
-            if k < self.wholes:
-                hit = located(w, b, low - edits, 2 * (2 * edits + 1) + 2 * edits, edits)
-                if hit:
-                    done.add(k)
-                    if item not in found or hit[2] < found[item][3]:
-                        found[item] = (item, *hit)
-                continue
-            for start in self.starts(k):
-                inside = (offset >= start) & (offset <= start + PART - Q)
-                # indels move an alignment by `edits` diagonals in all, so its shared q-grams lie that near to each other
-                least, diagonals = int(self.least[k]), np.sort(at[inside] - offset[inside])
-                near = np.flatnonzero(diagonals[least - 1 :] - diagonals[: len(diagonals) - least + 1] <= edits) if len(diagonals) >= least else ()
-                if len(near):
-                    first, last = int(diagonals[near[0]]), int(diagonals[near[-1] + least - 1])
-                    if hit := located(w[start : start + PART], b, first + start - edits, last - first + 1 + 2 * edits, edits):
-                        found[item] = (item, *hit)
-                        break
-        return sorted(found.values())
+        if not len(keys):
+            return []
+        first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 2) != 1)
+        last = np.append(first[1:], len(keys)) - 1
+        window, most = keys[first] >> 32, np.maximum.reduceat(counts, first)
+        low = ((keys[first] & 0xFFFFFFFF) - (1 << 16)) * self.width[window]
+        high = ((keys[last] & 0xFFFFFFFF) - (1 << 16) + 2) * self.width[window] - 1
+        order = np.lexsort((-most, window >= self.wholes))
+        return list(zip(window[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True))
 
     def starts(self, k: int) -> list[int]:
         """Where the parts of a segment start: each STRIDE bytes, and the last at its end."""
@@ -200,9 +244,25 @@ def blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def sent(block: DataFrame):
-    index = Index(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in block.collect()))
-    return block.sparkSession.sparkContext.broadcast(index)
+class Searcher:
+    """The broadcast indexes of a benchmark's blocks; of several, a worker holds one at a time and takes more texts at once."""
+
+    def __init__(self, benchmark: DataFrame):
+        self.sent = []
+        for block in blocks(benchmark):
+            index = Index(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in block.collect()))
+            self.sent.append(block.sparkSession.sparkContext.broadcast(index))
+        self.taken = 4 << 20 if len(self.sent) < 2 else 16 << 20
+
+    def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """What each text holds of all blocks: as `Index.search` gives it."""
+        plain, out = [normal(t) if t else b"" for t in texts], [[] for _ in texts]
+        for block in self.sent:
+            for found, b in zip(out, plain, strict=True):
+                found += block.value.search(b)
+            if len(self.sent) > 1:
+                del block._value  # the worker loads it again for the next texts
+        return out
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -212,44 +272,36 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hold nothing and are held by nothing; an empty benchmark gives no rows. An item is held if its whole (up to 480
     normalised bytes) or a window of 240 (above) is, within 10 % edits; and, if it is longer than 230, if any excerpt of it of
     230 normalised bytes or more is, wherever it begins, within 23 edits: start and end are then those of 110 bytes of it. An item's null id becomes -1. Repeated rows
-    each give their rows. Other columns are ignored. Texts are searched whole.
+    each give their rows. Other columns are ignored. Texts are searched whole, each in one pass over the documents.
     """
-    rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs.sparkSession.createDataFrame([], HITS)
-    for block in blocks(benchmark):
-        index = sent(block)
-
-        def make(index=index):
-            def run(x):
-                found = {k: [] for k in ("doc_id", "item_id", "start", "end", "edits")}
-                for doc, text in zip(x["doc_id"], x["text"], strict=True):
-                    got = index.value.search(normal(text)) if text else []
+    searcher = Searcher(benchmark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = [pa.int64()] * 5
+    names = ["doc_id", "item_id", "start", "end", "edits"]
+
+    def run(batches):
+        for batch in batches:
+            for part in common.slices(batch, searcher.taken):
+                found, texts = [], part.column(1).to_pylist()
+                for doc, text, got in zip(part.column(0).to_pylist(), texts, searcher.search(texts), strict=True):
                     at = places(text) if got else None
-                    for item, start, end, edits in got:
-                        for k, v in (("doc_id", doc), ("item_id", item), ("start", int(at[min(start, len(at) - 1)])), ("end", int(at[min(end, len(at)) - 1]) + 1), ("edits", edits)):
-                            found[k].append(v)
-                return found
-
-            return run
+                    found += [(doc, item, int(at[min(start, len(at) - 1)]), int(at[min(end, len(at)) - 1]) + 1, edits) for item, start, end, edits in got]
+                columns = zip(*found, strict=True) if found else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
-        part = common.by_batch(rows, make, HITS)
-        out = out.union(part)
-    return out
+    return common.mapped(rows, run, HITS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns."""
-    at = docs.columns.index("text")
-    for block in blocks(benchmark):
-        index = sent(block)
+    """The rows of docs that hold no benchmark item, as `hits` finds them, with all their columns; null, empty and very short texts stay."""
+    at, searcher = docs.columns.index("text"), Searcher(benchmark)
 
-        def run(batches, index=index):
-            for batch in batches:
-                for part in common.slices(batch):
-                    keep = [not (t and index.value.search(normal(t))) for t in part.column(at).to_pylist()]
-                    yield part.filter(pa.array(keep, pa.bool_()))
+    def run(batches):
+        for batch in batches:
+            for part in common.slices(batch, searcher.taken):
+                yield part.filter(pa.array([not x for x in searcher.search(part.column(at).to_pylist())], pa.bool_()))
 
-        docs = common.mapped(docs, run, docs.schema)
-    return docs
+    return common.mapped(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -257,4 +309,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the table `benchmark` stay."""
     return clean(docs, common.table(spark, sf_dir, "benchmark"))

@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import pytest
 
@@ -75,12 +77,58 @@ def test_excerpts_at_every_offset(size, length, edits):
         assert [f[0] for f in index.search(normal(f"{around} {''.join(s)} {around}"))] == [1], at
 
 
+@pytest.mark.parametrize(("text", "item"), [("a" * 60_000, "a" * 60_000), ("ab" * 20_000, "ba" * 20_000), ("a" * 60_000, "a" * 90 + "b" * 150)])
+def test_repetitive_texts_in_bounded_memory_and_time(text, item):
+    """As many shared q-grams as places times offsets; no text holds the last item."""
+    tracemalloc.start()
+    began = time.monotonic()
+    got = Index([(1, item)]).search(normal(text))
+    assert time.monotonic() - began < 20 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert [(f[0], f[3]) for f in got] == ([] if "b" * 9 in item else [(1, 0)])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repetitive_regions_are_those_of_the_full_table(seed):
+    r = random.Random(seed)
+    items = [(i, "".join(r.choice(("ab", "a", "aaab", "ba")) for _ in range(r.randint(10, 40)))) for i in range(5)]
+    index = Index(items)
+    for _ in range(8):
+        s = list(r.choice(items)[1])
+        for _ in range(r.randint(0, max(1, len(s) // 9))):
+            s[r.randrange(len(s))] = r.choice(("", "b", "ab"))
+        b = normal("a" * r.randint(0, 30) + "".join(s) + "ab" * r.randint(0, 20))
+        found = {f[0]: f[3] for f in index.search(b)}
+        for k, (own, w) in enumerate(index.windows):
+            assert (edit_distance(w, b) <= index.edits[k]) == (own in found)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """What lies across two pieces is found, whatever the place."""
+    monkeypatch.setattr(decontaminate, "PIECE", 700)
+    monkeypatch.setattr(decontaminate, "COUNTED", 50)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 9)))
+    item = " ".join(word() for _ in range(60))
+    for at in range(0, 2000, 61):
+        before = normal(" ".join(word() for _ in range(500)))[:at].decode()
+        text = normal(before + " . " + item + " " + " ".join(word() for _ in range(300)))
+        assert [(f[0], text[f[1] : f[2]], f[3]) for f in Index([(3, item)]).search(text)] == [(3, item.encode(), 0)]
+
+
+def test_repeated_rows_each_give_their_rows(spark):
+    docs, bench = documents(spark, [f"x {ITEM}", "clean"]), spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    assert decontaminate.hits(docs.union(docs), bench).count() == 2 and decontaminate.clean(docs.union(docs), bench).count() == 2
+    assert decontaminate.hits(docs, bench.union(bench)).count() == 1
+
+
 def test_empty_tables_and_blocks(spark, monkeypatch):
     docs, bench = documents(spark, [ITEM]), spark.createDataFrame([(7, ITEM), (8, ITEM[::-1])], "item_id long, text string")
     assert decontaminate.hits(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == 1
     assert decontaminate.hits(docs.limit(0), bench).count() == 0
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
-    assert len(decontaminate.blocks(bench)) == 3 and [r["item_id"] for r in decontaminate.hits(docs, bench).collect()] == [7]
+    assert len(decontaminate.blocks(bench)) == 3 and decontaminate.clean(docs, bench).count() == 0
+    assert [r["item_id"] for r in decontaminate.hits(docs, bench).collect()] == [7]
 
 
 def test_synthetic_table(spark, sf_dir):
