@@ -1,4 +1,9 @@
-from codeatlas.llm import html_extract
+import math
+from collections import Counter, defaultdict
+
+import pytest
+
+from codeatlas.llm import common, html_extract
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -53,6 +58,64 @@ def test_what_one_branch_of_a_site_repeats(spark):
     assert got == {i: f"list of stories {i} and more of them" if i < 4 else f"the story {i - 4} itself" for i in range(24)}
 
 
+def test_a_line_that_articles_share_at_different_places_stays(spark):
+    """It lies among contents that differ: its style node is important."""
+    pages = ["<article>" + "".join(f"<p>{'A line of many stories.' if k == i % 4 else f'Paragraph {k} of {i}.'}</p>" for k in range(4)) + "</article>" for i in range(8)]
+    got = texts(spark, pages, {i: "http://s.org/" for i in range(8)})
+    assert all(t.count("\n") == 3 and "A line of many stories." in t for t in got.values())
+
+
+def test_noise_within_a_line(spark):
+    pages = ['<p>one <span class="ad">Buy now</span> two</p>', "<p>one <a class=share-link href=x>Share <a>it</a></a>two", "<p>one<span class=ad>Buy<p>two</span></p>three", '<p>one <b class="strong-ad-hoc">x</b></p>', "<p>a <small id=cookie-notice>ok <small>really</small> yes</small>b</p>"]
+    assert texts(spark, pages) == {0: "one two", 1: "one two", 2: "one\ntwo\nthree", 3: "one x", 4: "a b"}
+
+
+def test_names_that_are_phrases_of_the_content(spark):
+    names = ("side-by-side", "form-of-government", "searching", "notice-of-rights", "platform", "sides", "header-image", "add", "menuett")
+    page = "<article><p>Start.</p>" + "".join(f'<section class="{n}"><p>In {n}.</p></section>' for n in names) + "</article>"
+    assert texts(spark, [page]) == {0: "\n".join(["Start.", *(f"In {n}." for n in names)])}
+
+
+def test_deep_noise_goes_whole(spark):
+    page = "<article><p>in the article</p></article><div class=sidebar>" + "<div>" * 2100 + "x" + "</div>" * 2100 + "<p>rest of the sidebar</p></div><p>after</p>"
+    assert texts(spark, [page, page.replace("<article>", "<div>").replace("</article>", "</div>")]) == {0: "in the article", 1: "in the article\nafter"}
+
+
+def brute_force_importance(pages):
+    """Of each style node, from whole sets of pages: 1 less the mean of its contents' entropies over the pages, added up page by page."""
+    holders = defaultdict(lambda: defaultdict(set))
+    for url, source in pages:
+        page, site = html_extract.Page(source), html_extract.ident(html_extract.host(url))
+        key = (site, tuple(b[1] for b in page.blocks))
+        for (_, text, _), nodes in zip(page.blocks, page.nodes(site), strict=True):
+            for node in nodes:
+                holders[node][text].add(key)
+    out = {}
+    for node, contents in holders.items():
+        m = len(set().union(*contents.values()))
+        entropy = [-sum(1 / len(p) * math.log(1 / len(p), m) for _ in p) if m > 1 else 0 for p in contents.values()]
+        out[node] = (m, 1 - sum(entropy) / len(entropy))
+    return out
+
+
+def test_importance_is_the_brute_force_entropy(spark, sf_dir):
+    rows = [(r["url"], r["html"]) for r in common.table(spark, sf_dir, "pages").collect()]
+    rows += [(f"http://s.org/{i}", f"<body><p>a</p><p>{i % 3}</p><ul>{'<li>x<li>y' * (i % 4)}</ul><div>end</div></body>") for i in range(20)] * 2
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], SCHEMA)
+    got = {r["node"]: (r["m"], r["importance"]) for r in html_extract.importance(html_extract.parsed(pages)).collect()}
+    want = brute_force_importance(rows)
+    assert got.keys() == want.keys() and Counter(m for m, _ in want.values())[12]
+    assert all(got[n][0] == m and got[n][1] == pytest.approx(x, abs=1e-9) for n, (m, x) in want.items())
+
+
+def test_many_low_nodes_are_joined(spark):
+    """Beyond the broadcast's bound the low nodes are met in a join, with the same result."""
+    page = lambda i: f"<body><div id=top>Welcome</div><p>story {i}</p><div class=q9>All rights kept</div></body>"
+    df = spark.createDataFrame([(i // 2, "http://s.org", page(i // 2)) for i in range(12)] + [(99, None, None)], SCHEMA)
+    few, many = (sorted(map(tuple, html_extract.extract(df, n).collect())) if n is not None else None for n in (10, 0))
+    assert few == many and {r[2] for r in few} == {"", *(f"story {i}" for i in range(6))}
+
+
 def test_articles_that_are_not_the_main_text(spark):
     body = "<div class=entry-content><p>The story itself is told here at length.</p></div>"
     comments = "<ol><li class=comment><article><p>nice!</p></article></li></ol>"
