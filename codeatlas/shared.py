@@ -7,6 +7,10 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,11 +39,53 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as its object."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs neither recompute it nor need the executors that made it."""
+    """Write df to the shared folder and read it back: later jobs neither recompute it nor need the executors that made it.
+
+    The files stay until `drop`, or the end of a `scratch` that they were written in.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if (own := _scope.get()) is not None:
+        own.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that `cut` returned and that nothing reads any more."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            delete(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is cut within: for a piece of work whose result is written elsewhere."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in own:
+            delete(spark, path)
 
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:

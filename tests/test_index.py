@@ -4,7 +4,7 @@ import logging
 import numpy as np
 import pytest
 
-from codeatlas import cli
+from codeatlas import cli, shared
 from codeatlas import config as cfg
 from codeatlas.functions import embedding as fe
 from codeatlas.operators import graph
@@ -116,3 +116,12 @@ def test_model_files(tmp_path):
     write("config.json", {"hidden_size": 1024.0, "type_vocab_size": 2})
     assert fe.infer_dimension(str(tmp_path)) == 1024 and fe.has_token_types(str(tmp_path))
     assert fe.preferred_engine(" ", " B ") == "B" and fe.preferred_engine("A", "B") == "A" and fe.preferred_engine(None, None) is None
+
+
+def test_cut_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path))
+    kept, gone = shared.cut(spark.range(3), "kept"), shared.cut(spark.range(4), "gone")
+    with shared.scratch(spark):
+        assert shared.cut(spark.range(5), "inner").count() == 5
+    shared.drop(gone, spark.range(1))
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"] and kept.count() == 3
