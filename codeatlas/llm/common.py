@@ -9,16 +9,19 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from codeatlas.shared import cut, share_code
+from codeatlas.shared import cut, drop, scratch, share_code
 
-__all__ = ["BROADCAST_ROWS", "by_batch", "by_ids", "cut", "mapped", "release", "share_code", "slices", "table"]
+__all__ = ["BROADCAST_ROWS", "by_batch", "by_ids", "cut", "drop", "mapped", "release", "scratch", "share_code", "slices", "spread", "table"]
 
 #: A set of ids or hashes is broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: A join key with more rows than this is dealt over several tasks.
+HOT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,22 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(broadcast(ids) if few else ids, "doc_id", how).select(docs.columns)
 
 
+def spread(big: DataFrame, small: DataFrame, on: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """big joined to small, in which `on` is a key, so that rows of big with one value of `on` are dealt over tasks of about hot_rows.
+
+    A hot value's rows get one of several salts, and its row of small is copied for each. Values are hot by a count over
+    all of big; of more than BROADCAST_ROWS hot ones the hottest are salted.
+    """
+    counted = big.groupBy(on).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("salts_")).filter("salts_ > 1")
+    if counted.isEmpty():
+        return big.join(small, on, how)
+    hot = cut(counted.orderBy(F.desc("salts_"), on).limit(BROADCAST_ROWS), "hot")
+    salts = F.coalesce("salts_", F.lit(1))
+    dealt = big.join(broadcast(hot), on, "left").withColumn("salt_", F.pmod(F.xxhash64(*big.columns), salts).cast("int"))
+    copied = small.join(broadcast(hot), on, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.drop("salts_").join(copied.drop("salts_"), [on, "salt_"], how).drop("salt_")
+
+
 def by_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over lists: make() runs once a task and returns the function from a batch's columns to the new columns."""
     out = to_arrow_schema(StructType.fromDDL(schema))

@@ -78,13 +78,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cid (hash of the set; null if empty), bands."""
+    """doc_id, row (hash of the text where doc_id is null), n_shingles, cid (hash of the set; null if empty), bands."""
 
     def make():
         seen, starts = Hashes(), bounds()
 
         def run(x):
-            out = {"doc_id": x["doc_id"], "n_shingles": [], "cid": [], "bands": []}
+            out = {"doc_id": x["doc_id"], "row": x["row"], "n_shingles": [], "cid": [], "bands": []}
             for text in x["text"]:
                 s = shingles(text, seen)
                 out["n_shingles"].append(len(s))
@@ -94,7 +94,8 @@ def sign(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return common.by_batch(docs, make, "doc_id long, n_shingles long, cid long, bands array<long>")
+    docs = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("row"), "text")
+    return common.by_batch(docs, make, "doc_id long, row long, n_shingles long, cid long, bands array<long>")
 
 
 def set_id(s: np.ndarray) -> int:
@@ -107,20 +108,24 @@ def sets(docs: DataFrame) -> DataFrame:
 
         def run(x):
             found = [s for s in (shingles(t, seen) for t in x["text"]) if len(s)]
-            return {"cid": [set_id(s) for s in found], "hashes": [s.view(np.int64) for s in found]}
+            return {"cid": [set_id(s) for s in found], "size": [len(s) for s in found], "hashes": [s.view(np.int64) for s in found]}
 
         return run
 
-    return common.by_batch(docs.select("text"), make, "cid long, hashes array<long>")
+    return common.by_batch(docs.select("text"), make, "cid long, size int, hashes array<long>")
 
 
 def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """Of pairs a, b those with 100 * intersection >= 80 * union of their full sets."""
-    both = pairs.join(full.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b").join(full.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
-    nx, ny = F.size("x"), F.size("y")
-    near = both.filter((100 * F.least(nx, ny) >= 80 * F.greatest(nx, ny)))
-    common_n = F.size(F.array_intersect("x", "y"))
-    return near.withColumn("both", common_n).filter(100 * F.col("both") >= 80 * (nx + ny - F.col("both"))).select("a", "b")
+    """Of pairs a, b those with 100 * intersection >= 80 * union of their full sets.
+
+    Pairs whose sizes alone are too far apart go before any set is fetched; a set that many pairs share is dealt with them.
+    """
+    size = full.select("cid", "size")
+    sized = common.spread(pairs, size.select(F.col("cid").alias("a"), F.col("size").alias("nx")), "a").join(size.select(F.col("cid").alias("b"), F.col("size").alias("ny")), "b")
+    near = common.cut(sized.filter(100 * F.least("nx", "ny") >= 80 * F.greatest("nx", "ny")).select("a", "b"), "near")
+    both = common.spread(near, full.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b")
+    both = both.withColumn("both", F.size(F.array_intersect("x", "y")))
+    return both.filter(100 * F.col("both") >= 80 * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -133,16 +138,19 @@ def components(edges: DataFrame) -> DataFrame:
     labels = common.cut(pairs.select(F.explode(F.array("low", "high")).alias("cid")).distinct().withColumn("label", F.col("cid")), "labels")
     while not pairs.isEmpty():
         up = common.cut(pairs.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("root")), "hooks")
+        old = [pairs, labels, up]
         while True:
             on = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
-            flat = common.cut(up.join(on, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "hooks")
+            flat = common.cut(common.spread(up, on, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "hooks")
+            old.append(flat)
             up = flat.select("node", "root")
             if flat.filter("moved").isEmpty():
                 break
-        root = lambda df, name: df.join(up.select(F.col("node").alias(name), F.col("root").alias("r")), name, "left").withColumn(name, F.coalesce("r", name)).drop("r")
+        root = lambda df, name: common.spread(df, up.select(F.col("node").alias(name), F.col("root").alias("r")), name, "left").withColumn(name, F.coalesce("r", name)).drop("r")
         labels = common.cut(root(labels, "label"), "labels")
         pairs = root(root(pairs, "low"), "high").filter("low <> high")
         pairs = common.cut(pairs.select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct(), "pairs")
+        common.drop(*old)
     return labels
 
 
@@ -153,21 +161,52 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members, with their labels, of buckets of three or more that still hold several components."""
-    now = members.filter("n > 2").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    now = common.cut(members.filter("n > 2").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "now")
     several = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    return now.join(several, "key", "left_semi")
+    return common.spread(now, several, "key")
 
 
-def in_blocks(crowds: DataFrame, full: DataFrame) -> DataFrame:
-    """Links between any two of the same crowd (cid, crowd, label) whose labels differ: block against block of at most BLOCK sets or so, as products of incidence matrices.
+def groups(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups whose sets are to be compared with each other (cid, label, group), and the crowds that are such groups whole (cid, crowd).
 
-    The pairs are tested within a task and never become rows; a row is copied once for each block of its crowd.
+    A crowd is what buckets that share sets make up. It is compared whole, or bucket by bucket (those of the same sets once),
+    whichever makes fewer pairs.
+    """
+    star = wide.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+    crowds = components(star).withColumnRenamed("label", "crowd")
+    own = common.cut(wide.select("key", "cid", "label").join(crowds, "cid"), "wide")
+    buckets = own.groupBy("crowd", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sets"))
+    buckets = common.cut(buckets.groupBy("crowd", "n", "sets").agg(F.min("key").alias("key")), "buckets")
+    apart = buckets.groupBy("crowd").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    size = crowds.groupBy("crowd").agg(F.count("*").alias("size"))
+    whole = common.cut(size.join(apart, "crowd").filter("size * size <= apart").select("crowd"), "whole")
+    at_once = crowds.join(whole, "crowd", "left_semi")
+    one = own.join(whole, "crowd", "left_semi").select("cid", "label", F.col("crowd").alias("group")).distinct()
+    keys = buckets.join(whole, "crowd", "left_anti").select("key")
+    return one.unionByName(common.spread(own, keys, "key").select("cid", "label", F.col("key").alias("group"))), at_once
+
+
+def in_blocks(own: DataFrame, full: DataFrame) -> DataFrame:
+    """Links between any two of the same group (cid, label, group) whose labels differ: block against block of about BLOCK sets, as products of incidence matrices.
+
+    Sets are in classes by size, each 1.25 times the last, so that only those of neighbouring classes can be linked. The
+    pairs are tested within a task and never become rows; a row is copied once for each block of its class and the next.
     """
-    common.share_code(crowds.sparkSession)
-    size = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = crowds.join(size, "crowd").withColumn("own", F.pmod(F.xxhash64(F.lit(8), "cid"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cid", "label", "crowd", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    common.share_code(own.sparkSession)
+    # 0.8 is 100 / 125: sizes of classes that aren't neighbours differ by more than that ratio
+    classed = own.join(full.select("cid", "size"), "cid").withColumn("class", F.floor(F.log("size") / F.log(F.lit(1.25)) + 1e-9).cast("int"))
+    size = common.cut(classed.groupBy("group", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    up = size.select("group", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
+    down = size.select("group", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
+    size = size.join(up, ["group", "class"], "left").join(down, ["group", "class"], "left").na.fill(0, ["above", "below"])
+    dealt = classed.join(size, ["group", "class"]).withColumn("nth", F.pmod(F.xxhash64(F.lit(8), "cid"), F.col("blocks")).cast("int"))
+    block = lambda of, i: F.struct(of.alias("of"), i.cast("int").alias("nth"))
+    # meetings of a block with those of its class, those above, and those below
+    with_own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(block(F.col("class"), F.least(F.col("nth"), i)).alias("i"), block(F.col("class"), F.greatest(F.col("nth"), i)).alias("j")))
+    with_up = F.transform(F.filter(F.sequence(F.lit(0), F.col("above")), lambda i: i < F.col("above")), lambda i: F.struct(block(F.col("class"), F.col("nth")).alias("i"), block(F.col("class") + 1, i).alias("j")))
+    with_down = F.transform(F.filter(F.sequence(F.lit(0), F.col("below")), lambda i: i < F.col("below")), lambda i: F.struct(block(F.col("class") - 1, i).alias("i"), block(F.col("class"), F.col("nth")).alias("j")))
+    dealt = dealt.select("cid", "label", "group", block(F.col("class"), F.col("nth")).alias("own"), F.explode(F.concat(with_own, with_up, with_down)).alias("x"))
+    dealt = dealt.select("cid", "label", "group", F.xxhash64("own").alias("own"), F.xxhash64("x.i").alias("i"), F.xxhash64("x.j").alias("j"))
 
     def test(t):
         x = [np.asarray(v, np.int64) for v in t["hashes"]]
@@ -191,7 +230,7 @@ def in_blocks(crowds: DataFrame, full: DataFrame) -> DataFrame:
         a, b = np.nonzero(near)
         return type(t)({"a": cid[a], "b": cid[b]})
 
-    return dealt.join(full, "cid").groupBy("crowd", "i", "j").applyInPandas(test, "a long, b long")
+    return common.spread(dealt, full.select("cid", "hashes"), "cid").groupBy("group", "i", "j").applyInPandas(test, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,20 +238,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Nodes are the distinct sets, so exact copies cost one node however many there are. In each bucket the least node is the
     centre of a star of candidate edges; links are confirmed on full sets. Buckets that their stars leave in several
-    components are settled exactly: large ones, joined into crowds where they share sets, block against block in
-    `in_blocks`; small ones by the pairs whose ends are in different components and not in one crowd. So no pair of a
-    bucket goes untested unless its ends are already connected.
+    components are settled exactly: large ones, bucket by bucket or joined into crowds where they share sets, block against
+    block in `in_blocks`; small ones by the pairs whose ends are in different components and not in one crowd that was
+    compared whole. So no pair of a bucket goes untested unless its ends are already connected.
     A null, empty or blank text has an empty set, no links and is its own component. Repeated rows are copies of each other.
     Rows with a null doc_id link others as any row does; they are kept only if no row of their component has an id, and the
     component's id is null then.
     Other columns of docs are ignored.
     """
+    return found(docs).drop("row")
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """`near_duplicates` with row: a hash of the text where doc_id is null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     signed = common.cut(sign(docs), "signed")
     classes = common.cut(signed.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")), "classes")
     rows = classes.select("cid", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("centre")).filter("n > 1")
-    members = common.cut(rows.join(shared, "key").select("key", "cid", "n", "centre"), "members")
+    shared = common.cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("centre")).filter("n > 1"), "shared")
+    members = common.cut(common.spread(rows, shared, "key").select("key", "cid", "n", "centre"), "members")
 
     wanted = members.select("cid").distinct().join(classes, "cid").select("cid", F.col("least").alias("doc_id"))
     wanted = common.cut(wanted, "wanted")
@@ -222,29 +266,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         own = own.unionByName(sets(docs.filter("doc_id is null")).join(nameless, "cid", "left_semi"))
     full = common.cut(own.dropDuplicates(["cid"]), "sets")
 
-    tested = members.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+    tested = common.cut(members.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct(), "tested")
     labels = components(linked(tested, full))
     left = common.cut(unsettled(members, labels), "unsettled")
-    wide = left.filter(F.col("n") > SMALL)
-    crowd = wide.select("cid", "centre").filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
-    crowds = components(crowd).withColumnRenamed("label", "crowd")
-    more = common.cut(in_blocks(crowds.join(wide.select("cid", "label").distinct(), "cid"), full), "links")
+    own, crowds = groups(left.filter(F.col("n") > SMALL))
+    more = common.cut(in_blocks(common.cut(own, "groups"), full), "links")
     if not more.isEmpty():
         labels = joined(labels, more)
     slim = unsettled(members.filter(F.col("n").between(3, SMALL)), labels).join(crowds, "cid", "left")
     slim = common.cut(slim.select("key", "cid", "centre", "label", F.coalesce("crowd", "cid").alias("crowd")), "slim")
     other = slim.filter("cid <> centre").select("key", F.col("cid").alias("a"), F.col("label").alias("of"), F.col("crowd").alias("at"))
     pairs = slim.filter("cid <> centre").join(other, "key").filter("a < cid and label <> of and crowd <> at").select("a", F.col("cid").alias("b")).distinct()
-    more = common.cut(linked(pairs, full), "links")
+    more = common.cut(linked(common.cut(pairs, "pairs"), full), "links")
     if not more.isEmpty():
         labels = joined(labels, more)
 
-    found = classes.select("cid", "least").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = found.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = found.join(least, "label").select("cid", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cid").join(of, "cid", "left")
+    of = classes.select("cid", "least").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = of.groupBy("label").agg(F.min("least").alias("component_id"))
+    of = common.cut(common.spread(of.select("cid", "label"), least, "label").select("cid", "component_id"), "components")
+    common.drop(shared, members, wanted, full, tested, left, slim, more)
+    out = common.spread(signed.select("doc_id", "row", "n_shingles", "cid"), of, "cid", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -252,6 +295,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the least doc_id; of rows that repeat it, all stay, as do rows with a null doc_id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return common.by_ids(docs, common.cut(gone, "gone"), "left_anti")
+    """One document of each group stays: the least doc_id, with all rows that repeat it. A row with a null doc_id stays if no row of its group has an id, so null, empty and blank texts all stay."""
+    gone = common.cut(found(docs).filter(~F.col("kept")).select("doc_id", "row").distinct(), "gone")
+    left = common.by_ids(docs, gone.filter("doc_id is not null").select("doc_id"), "left_anti")
+    texts = gone.filter("doc_id is null").select(F.col("row").alias("row_"))
+    if texts.isEmpty():
+        return left
+    return left.join(texts, left["doc_id"].isNull() & (F.xxhash64(left["text"]) == texts["row_"]), "left_anti")

@@ -58,6 +58,32 @@ def test_large_group_of_near_copies_with_outliers(spark):
     check(spark, texts)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_buckets_settled_in_blocks(spark, seed, monkeypatch):
+    """Crowds compared whole and bucket by bucket, in small blocks, of sets of many sizes, with hot keys dealt over tasks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    monkeypatch.setattr(common.spread, "__defaults__", ("inner", 5))
+    r = random.Random(seed)
+    texts = {}
+    for family in range(3):
+        base = [f"w{family}x{r.randrange(9999)}" for _ in range(90)]
+        for _ in range(60):
+            w = base[: r.choice((50, 60, 72, 90))]
+            for _ in range(r.choice((0, 1, 2, 4, 6))):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            texts[len(texts)] = " ".join(w)
+    check(spark, texts | {len(texts) + i: texts[0] for i in range(20)})
+
+
+def test_spread_joins_as_a_join_does(spark):
+    big = spark.createDataFrame([(k, i) for k, n in ((1, 40), (2, 3), (None, 5), (3, 12)) for i in range(n)], "k long, i long")
+    small = spark.createDataFrame([(1, "a"), (3, "b"), (9, "c")], "k long, v string")
+    for how in ("inner", "left"):
+        got, want = (sorted(map(tuple, f(big).collect()), key=str) for f in (lambda b: common.spread(b, small, "k", how, 4), lambda b: b.join(small, "k", how)))
+        assert got == want and len(got) == (52 if how == "inner" else 60)
+
+
 def test_odd_texts(spark):
     texts = {i + 1: t for i, t in enumerate(ODD)} | {20: "one two three", 21: "ONE  two\tthree", 22: "one two", 23: "a b c d\x1ce"}
     check(spark, texts)
@@ -73,6 +99,9 @@ def test_rows_without_an_id_link_others(spark):
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1, True), (2, 1, False), (None, 1, False), (None, 1, False), (None, None, True), (None, None, True)], key=str)
     assert near_dedup.near_duplicates(df.filter("doc_id is null")).filter("kept").count() == 4
+    stayed = near_dedup.stage(spark, df, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in stayed), key=str) == sorted([(1, rows[0][1]), (None, "all alone here"), (None, None)], key=str)
+    assert near_dedup.stage(spark, df.limit(0), "").count() == 0
 
 
 def test_stage_keeps_one_of_a_group(spark):
