@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas import schemas
@@ -16,8 +16,17 @@ from codeatlas.shared import share_code
 EMPTY = {"package_name": "", "class_name": "", "properties": [], "methods": []}
 
 
+#: A call in text of any language: a name and a bracket.
+CALLED = r"([A-Za-z_][A-Za-z0-9_]*)\("
+
+
+def called_names(text: Column) -> Column:
+    """array<string> of the names that stand before a bracket, repeated ones kept: callees where nothing parses the language."""
+    return F.regexp_extract_all(text, F.lit(CALLED), F.lit(1))
+
+
 def parse(code: str, lang: str) -> dict:
-    """The parts of a source text; a syntax error is raised where the language's parser has them."""
+    """The parts of a source text. What a syntax error leaves readable is kept; a Python text that can't be read at all (one with NUL) raises."""
     if lang == "PYTHON":
         return python_source.parse(code)
     if lang in words.LANGUAGES:

@@ -6,6 +6,12 @@ import re
 from bisect import bisect_right
 
 BLANKED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"\"\".*?(?:\"\"\"|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`?", re.DOTALL)
+#: What stands before declarations without being part of them: annotations, attributes, and access labels.
+DECORATIONS = {
+    "JAVA": r"@(?!interface\b)\w+(?:\.\w+)*(?:\s*\([^()]*(?:\([^()]*\)[^()]*)*\))?", "C_SHARP": r"(?m)^\s*\[[^\]\n]*\]", "RUST": r"#!?\[[^\]]*\]",
+    "CPP": r"\b(?:public|private|protected)\s*(?:slots\s*)?:(?!:)", "PHP": r"#\[[^\]]*\]",
+}
+DECORATIONS |= dict.fromkeys(("KOTLIN", "SCALA", "DART", "TYPESCRIPT", "TSX", "JAVASCRIPT", "SWIFT"), DECORATIONS["JAVA"])
 HASH_COMMENTS = re.compile(r"(?m)#(?!\[)[^\n]*")
 PACKAGE = re.compile(r"(?m)^\s*(?:package|namespace)\s+([\w.\\]+(?:::\w+)*)")
 #: Kinds of class-like declarations, in the order in which the first of them is looked for (fixed values).
@@ -14,13 +20,15 @@ KEYWORDS = set(
     "if for while switch catch return new else do try synchronized using lock foreach function fn func fun def sizeof typeof await throw case when match with assert super this loop unsafe elif in not and or defer go select yield".split()
 )
 CALL = re.compile(r"([A-Za-z_$][\w$]*)\s*(?:::<[^>()]*>)?!?\(")
-KEYWORD_METHOD = re.compile(r"\b(?:fun|func|fn|function|def)\s+(?:<[^>]*>\s*)?(?:\([^)]*\)\s*)?(?:[\w.]+\.)?([A-Za-z_$][\w$]*)\s*(?:<[^>(]*>|\[[^\]]*\])?\s*\(")
+KEYWORD_METHOD = re.compile(r"\b(?:fun|func|fn|function|def)(?:\s+|\s*\*\s*)(?:<[^>]*>\s*)?(?:\([^)]*\)\s*)?(?:[\w.]+\.)?([A-Za-z_$][\w$]*)\s*(?:<[^>(]*>|\[[^\]]*\])?\s*\(")
 TYPED_METHOD = re.compile(r"(?<![\w.])((?:[A-Za-z_$][\w$:.]*(?:\s*<[^;{}()]*>)?(?:\s*\[\s*\])*[\s*&?]+)+)(~?[A-Za-z_$][\w$]*)\s*\(")
-BARE_METHOD = re.compile(r"(?m)(?<=[;{}\n])\s*(?:(?:static|async|get|set|public|private|protected|override|readonly|abstract)\s+)*([#A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\(")
+BARE_METHOD = re.compile(r"(?m)(?<=[;{}\n])\s*(?:(?:static|async|get|set|public|private|protected|override|readonly|abstract)\s+)*\*?\s*([#A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\(")
+ARROW = re.compile(r"(?m)(?:\b(?:const|let|var)\s+|(?<=[;{}\n])[ \t]*(?:(?:static|public|private|protected|readonly|override)\s+)*)([#A-Za-z_$][\w$]*)\s*(?::[^=;{}]+)?=\s*(?:async\s*)?(?:<[^>(]*>\s*)?(?:\(([^()]*(?:\([^()]*\)[^()]*)*)\)|([A-Za-z_$][\w$]*))\s*(?::\s*([^=;{}]+?))?\s*=>\s*")
 FIELD = re.compile(r"^(?:@\w+(?:\([^)]*\))?\s*|(?:public|private|protected|internal|static|final|readonly|const|volatile|transient|override|lateinit|open|let|var|val|mut|pub|declare|abstract)\s+)*")
 MODIFIERS = set("public private protected internal static final abstract synchronized native async override virtual inline extern const default open suspend export pub unsafe constexpr explicit friend partial sealed".split())
 BY_KEYWORD = {"GO", "RUST", "KOTLIN", "SWIFT", "SCALA", "PHP", "JAVASCRIPT", "TYPESCRIPT", "TSX"}
 BY_NAME = {"JAVASCRIPT", "TYPESCRIPT", "TSX", "DART"}
+ARROWS = {"JAVASCRIPT", "TYPESCRIPT", "TSX"}
 BY_TYPE = {"JAVA", "C", "CPP", "C_SHARP", "DART"}
 PAIRS = {"{": "}", "(": ")", "[": "]"}
 
@@ -42,6 +50,28 @@ def closing(text: str, at: int) -> int:
     return len(text)
 
 
+def balanced(text: str, at: int) -> int:
+    """Place after the angle bracket that closes the one at `at`; `at` if none does."""
+    depth = 0
+    for i in range(at, len(text)):
+        depth += (text[i] == "<") - (text[i] == ">")
+        if not depth:
+            return i + 1
+        if text[i] in ";{}":
+            break
+    return at
+
+
+def undecorated(text: str, lang: str) -> str:
+    """text with decorations, and the parameters of C++ templates, as spaces of the same length."""
+    if lang in DECORATIONS:
+        text = re.sub(DECORATIONS[lang], lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    for m in re.finditer(r"\btemplate\s*(?=<)", text) if lang == "CPP" else ():
+        end = balanced(text, m.end())
+        text = text[: m.start()] + re.sub(r"[^\n]", " ", text[m.start() : end]) + text[end:]
+    return text
+
+
 def top_level(text: str, start: int, end: int) -> str:
     """text from start to end with what lies in inner braces blanked."""
     out, at = list(text[start:end]), start
@@ -101,7 +131,7 @@ def calls(text: str) -> list[str]:
 
 def parse(code: str, lang: str) -> dict:
     """The first class with its fields and methods; without one, or where methods stand outside (Go, Rust), the file's functions."""
-    text = blanked(code, lang)
+    text = undecorated(blanked(code, lang), lang)
     lines = [m.start() for m in re.finditer("\n", text)]
     package = PACKAGE.search(text)
     found = first_class(text)
@@ -117,14 +147,39 @@ def parse(code: str, lang: str) -> dict:
 
 
 def functions(text: str, flat: str, begin: int, stop: int, code: str, lang: str, lines: list[int], owner: str):
+    """The functions whose heads stand in flat, text from begin to stop without what lies in inner braces, in source order."""
+    yield from sorted([*declared(text, flat, begin, stop, code, lang, lines, owner), *(arrows(text, flat, begin, code, lang, lines) if lang in ARROWS else ())], key=lambda f: f["start_line"])
+
+
+def arrows(text: str, flat: str, begin: int, code: str, lang: str, lines: list[int]):
+    """Functions that are bound to a name by an arrow."""
+    for m in ARROW.finditer(flat):
+        first, at = begin + m.start(1), begin + m.end()
+        if text[at : at + 1] == "{":
+            last = closing(text, at)
+        else:  # an expression, up to the end of its statement
+            depth, last = 0, at
+            while last < len(text) and (depth > 0 or text[last] not in ";\n,)}"):
+                depth += (text[last] in PAIRS) - (text[last] in PAIRS.values())
+                last += 1
+            last -= 1
+        yield {
+            "name": m[1], "return_type": (m[4] or "").strip(), "parameters": parameters(m[2] if m[2] is not None else m[3], lang), "body": code[at : last + 1],
+            "start_line": bisect_right(lines, first - 1) + 1, "end_line": bisect_right(lines, max(0, last - 1)) + 1, "callees": calls(text[at : last + 1]),
+        }
+
+
+def declared(text: str, flat: str, begin: int, stop: int, code: str, lang: str, lines: list[int], owner: str):
     patterns = [p for p, langs in ((KEYWORD_METHOD, BY_KEYWORD), (TYPED_METHOD, BY_TYPE), (BARE_METHOD, BY_NAME)) if lang in langs] or [KEYWORD_METHOD, TYPED_METHOD]
+    if owner and lang in BY_TYPE:  # constructors and destructors have no type
+        patterns.append(re.compile(rf"(?<![\w.:~])((?:~\s*)?{re.escape(owner)})\s*\("))
     found: dict[int, tuple[int, str, str]] = {}
     for p in patterns:
         for m in p.finditer(flat):
             name = m[m.re.groups]
             head = m[1] if p is TYPED_METHOD else ""
             if (p is KEYWORD_METHOD or name not in KEYWORDS) and not (set(head.split()) & {"return", "new", "else", "throw", "case"}):
-                found.setdefault(m.end() - 1, (m.start() + len(m[0]) - len(m[0].lstrip()), name, head))
+                found.setdefault(m.end() - 1, (m.start() + len(m[0]) - len(m[0].lstrip()), name.replace(" ", ""), head))
     for at, (first, name, head) in sorted(found.items()):
         shut = closing(text, begin + at)
         open_at = re.compile(r"[{;=]|\n\s*\n").search(text, shut + 1, stop)
@@ -140,10 +195,12 @@ def functions(text: str, flat: str, begin: int, stop: int, code: str, lang: str,
         if p_type(between, lang) is None:
             continue
         body = code[open_at.start() : last + 1]
-        kind = " ".join(w for w in head.split() if w not in MODIFIERS and not w.startswith("@")) or p_type(between, lang)
+        kind = " ".join(w for w in head.split() if w not in MODIFIERS)
+        kind = kind[balanced(kind, 0) :].strip() if kind.startswith("<") else kind  # type parameters of the method
+        kind = kind or p_type(between, lang)
         yield {
             "name": name,
-            "return_type": "" if name == owner else kind,
+            "return_type": "" if name.lstrip("~") == owner else kind,
             "parameters": parameters(text[begin + at + 1 : shut], lang),
             "body": body,
             "start_line": bisect_right(lines, begin + first - 1) + 1,
@@ -163,24 +220,29 @@ def p_type(between: str, lang: str) -> str | None:
 
 
 def fields(flat: str, lang: str) -> list[str]:
+    """Names of the fields that stand in flat, a class body without what lies in inner braces; of a declaration with several names, all."""
     out = []
     for part in re.split(r"[;\n]" if lang not in ("JAVA", "C", "CPP", "C_SHARP", "DART", "PHP") else r"[;{}]", flat):
         part = part.strip().rstrip(",")
         rest = FIELD.sub("", part)
-        declared = rest != part
-        rest = rest.split("=")[0].strip()
-        if not rest or "(" in rest or rest.split()[0] in KEYWORDS | set(KINDS) | {"func", "fn", "fun", "import", "package", "use"}:
+        named = rest != part
+        first, *more = split_top(rest)
+        first = first.split("=")[0].strip()
+        if not first or "(" in first or first.split()[0] in KEYWORDS | set(KINDS) | {"func", "fn", "fun", "import", "package", "use"} or ("=>" in part and lang in ARROWS):
             continue
-        if lang in ("RUST", "KOTLIN", "SWIFT", "SCALA", "TYPESCRIPT", "TSX") or (":" in rest and lang in ("DART",)):
-            m = re.match(r"([A-Za-z_]\w*)\??!?\s*(?::|$)", rest)
+        if lang in ("RUST", "KOTLIN", "SWIFT", "SCALA", "TYPESCRIPT", "TSX") or (":" in first and lang in ("DART",)):
+            m = re.match(r"([A-Za-z_]\w*)\??!?\s*(?::|$)", first)
         elif lang == "GO":
-            m = re.match(r"([A-Za-z_]\w*)\s+\S", rest)
+            names = re.match(r"((?:[A-Za-z_]\w*\s*,\s*)*[A-Za-z_]\w*)\s+\S", rest)
+            out += re.findall(r"\w+", names[1]) if names else []
+            continue
         elif lang == "JAVASCRIPT":
-            m = re.match(r"(#?[A-Za-z_$][\w$]*)$", rest) if "=" in part or declared else None
+            m = re.match(r"(#?[A-Za-z_$][\w$]*)$", first) if "=" in part or named else None
         elif lang == "PHP":
-            m = re.search(r"\$(\w+)$", rest)
+            m = re.search(r"\$(\w+)$", first)
         else:
-            m = re.search(r"^[\w$:.<>,\[\]?*&\s]+[\s*&>\]]([A-Za-z_$][\w$]*)\s*(?:\[[^\]]*\])*$", rest.split(",")[0] if "<" not in rest else rest)
+            m = re.search(r"^[\w$:.<>,\[\]?*&\s]+[\s*&>\]]([A-Za-z_$][\w$]*)\s*(?:\[[^\]]*\])*$", first)
         if m:
-            out.append(m[1])
+            others = (re.match(r"[\s*&$]*([A-Za-z_$][\w$]*)", x) for x in more)
+            out += [m[1], *(x[1] for x in others if x)]
     return out

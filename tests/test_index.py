@@ -18,7 +18,7 @@ def tree(tmp_path):
     src.mkdir()
     (src / "a.py").write_text("def f():\n    g()\n\ndef g():\n    pass\n")
     (src / "B.java").write_text("package p;\nclass B {\n  int f(int a) { return f(a); }\n  int f() { return 2; }\n}\n")
-    (src / "bad.py").write_text("def broken(:\n")
+    (src / "bad.py").write_text("def broken():\0\n")
     return src
 
 

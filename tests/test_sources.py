@@ -85,6 +85,33 @@ def test_python():
     assert [m["name"] for m in parse("def top():\n    return 1\n", "PYTHON")["methods"]] == ["top"]
 
 
+def of(code, lang):
+    got = parse(code, lang)
+    return got["class_name"], got["properties"], [(m["name"], m["return_type"], m["parameters"], m["start_line"], m["end_line"], m["callees"]) for m in got["methods"]]
+
+
+def test_python_with_syntax_errors():
+    code = "class A:\n    x = 1\n    def f(self):\n        return g()\n    def broken(:\n        y = h()\n    def k(self):\n        return m(self\n    def last(self):\n        return n()\n"
+    assert of(code, "PYTHON") == ("A", ["x"], [("f", "", ["self"], 3, 4, ["g"]), ("k", "", ["self"], 7, 8, []), ("last", "", ["self"], 9, 10, ["n"])])
+    assert of("def f():\n\ndef g():\n    return h()\n", "PYTHON")[2] == [("f", "", [], 1, 1, []), ("g", "", [], 3, 4, ["h"])]
+    assert of("def broken(:\n", "PYTHON") == ("", [], []) and of("x = )(\ndef f(): g()\n", "PYTHON")[2] == [("f", "", [], 2, 2, ["g"])]
+
+
+def test_templates_annotations_and_several_names():
+    code = "template <class T> class V : public B {\npublic:\n  int n = 1, *m; std::map<K, T> table;\n  V(int a) : n(a) { init(a); }\n  ~V() { release(); }\n  int size() const { return count(); }\nprivate:\n  template <typename U> U get(U u) { return conv(u); }\n};\n"
+    methods = [("V", "", ["a"], 4, 4, ["init"]), ("~V", "", [], 5, 5, ["release"]), ("size", "int", [], 6, 6, ["count"]), ("get", "U", ["u"], 8, 8, ["conv"])]
+    assert of(code, "CPP") == ("V", ["n", "m", "table"], methods)
+    code = "@Entity(name = \"x(y)\")\npublic class Q<T> extends R {\n  @Column private int N = 1, M = 2;\n  private final Map<String, List<T>> cache = new HashMap<>(), other;\n  Q(int a) { this.N = a; }\n  @Override\n  public <K> Map<K, T> of(@Nullable K k, int... r) throws E {\n    return build(k);\n  }\n}\n"
+    assert of(code, "JAVA") == ("Q", ["N", "M", "cache", "other"], [("Q", "", ["a"], 5, 5, []), ("of", "Map<K, T>", ["k", "r"], 7, 9, ["build"])])
+
+
+def test_arrows_and_generators():
+    code = "class J {\n  x = 1;\n  run = async (a, b) => { await stop(a); }\n  *gen(n) { yield next(n); }\n  static make = a => build(a);\n}\n"
+    assert of(code, "JAVASCRIPT") == ("J", ["x"], [("run", "", ["a", "b"], 3, 3, ["stop"]), ("gen", "", ["n"], 4, 4, ["next"]), ("make", "", ["a"], 5, 5, ["build"])])
+    code = "const add = (a, b) => plus(a, b);\nfunction* gen(a) { yield f(a); }\nconst t = (x: number): number => {\n  return g(x);\n};\n"
+    assert of(code, "TYPESCRIPT")[2] == [("add", "", ["a", "b"], 1, 1, ["plus"]), ("gen", "", ["a"], 2, 2, ["f"]), ("t", "number", ["x"], 3, 5, ["g"])]
+
+
 @pytest.mark.parametrize(
     ("lang", "code", "owner", "names", "callees"),
     [
@@ -113,9 +140,9 @@ def test_other_languages(lang, code, owner, names, callees):
 
 
 def test_a_file_that_fails_is_an_error_row(spark):
-    rows = [("/a.py", "def f(:", None), ("/b.py", "def f():\n  pass", None), ("/c.zzz", "text", None), ("/d.py", None, "not valid UTF-8")]
+    rows = [("/a.py", "def f():\0", None), ("/b.py", "def f():\n  pass", None), ("/c.zzz", "text", None), ("/d.py", None, "not valid UTF-8")]
     got = {r["file_path"]: r for r in parse_files(spark.createDataFrame(rows, "path string, content string, error string")).collect()}
-    assert "SyntaxError" in got["/a.py"]["error"] and got["/b.py"]["error"] is None and len(got["/b.py"]["methods"]) == 1
+    assert "null bytes" in got["/a.py"]["error"] and got["/a.py"]["methods"] == [] and got["/b.py"]["error"] is None and len(got["/b.py"]["methods"]) == 1
     assert got["/c.zzz"]["language"] is None and got["/d.py"]["error"] == "not valid UTF-8"
 
 
