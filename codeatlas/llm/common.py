@@ -14,9 +14,9 @@ from pyspark.sql.functions import broadcast
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from codeatlas.shared import cut, drop, scratch, share_code
+from codeatlas.shared import cut, drop, outside, scratch, share_code
 
-__all__ = ["BROADCAST_ROWS", "by_batch", "by_ids", "cut", "drop", "mapped", "release", "scratch", "share_code", "slices", "spread", "table"]
+__all__ = ["BROADCAST_ROWS", "by_batch", "by_ids", "cut", "drop", "mapped", "outside", "release", "scratch", "share_code", "slices", "spread", "table"]
 
 #: A set of ids or hashes is broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
