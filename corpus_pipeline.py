@@ -23,8 +23,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written to the shared folder as Parquet and read again."""
+    """All stages over documents; each one's rows are written to the shared folder as Parquet and read again.
+
+    What a stage cut for itself is deleted when its rows are written, and its input when the next stage has read it.
+    """
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with common.scratch(spark):
+            rows = stage(spark, docs, sf_dir)
+            with common.outside():
+                docs = common.cut(rows, f"stage-{name}")
+        common.drop(before)
     return docs
