@@ -88,6 +88,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+@contextmanager
+def outside() -> Iterator[None]:
+    """Within a `scratch`: what is cut here stays."""
+    token = _scope.set(None)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """df with 0, 1, 2 ... in that order, which must be total: ranges are numbered apart and shifted by the sizes before them."""
     part = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
