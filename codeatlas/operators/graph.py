@@ -80,18 +80,21 @@ def bfs(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int, rels: It
     """node_id, depth: nodes within max_depth outgoing edges of start, with their distance.
 
     An unknown start gives no rows; a bound below 1 gives start alone. A job a level; each level is written to the shared
-    folder, and an edge whose end was reached before is dropped by an anti-join.
+    folder, and an edge whose end was reached before is dropped by an anti-join. Edges that end at no node go once, before
+    the walk, if it has several levels.
     """
     spark = nodes.sparkSession
     seen = cut(node_by_id(nodes, start).select("node_id", F.lit(0).cast("long").alias("depth")).distinct(), "level")
     own = related(edges, rels).select("src", "dst")
-    ids = nodes.select("node_id")
+    own = own.join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst")
     frontier, depth, n = seen, 0, seen.count()
+    if n and max_depth > 1:
+        own = cut(own, "edges")
     while n and depth < max_depth:
         depth += 1
         front = frontier.select(F.col("node_id").alias("src"))
         near = own.join(F.broadcast(front) if n <= BROADCAST_ROWS else front, "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
-        near = near.join(seen.select("node_id"), "node_id", "left_anti").join(ids, "node_id", "left_semi")
+        near = near.join(seen.select("node_id"), "node_id", "left_anti")
         frontier = cut(near.withColumn("depth", F.lit(depth).cast("long")), "level")
         n = frontier.count()
         if n:
@@ -104,7 +107,7 @@ def dfs(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int, r
 
     A node is visited where the walk first meets it, however deep, so that the bound may hide what a shorter way reaches.
     Children go by (edge_seq, dst). A bound below 0 gives nothing. Walks are sequential; roots run in parallel, each over the
-    edges that its breadth-first closure holds.
+    edges that its breadth-first closure holds within the bound: one task holds those of one root, about 100 bytes each.
     """
     if max_depth < 0:
         return nodes.sparkSession.createDataFrame([], "root string, node_id string, depth long, pos long")

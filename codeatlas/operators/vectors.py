@@ -37,8 +37,12 @@ def count(vectors: DataFrame) -> DataFrame:
 
 
 def with_similarity(vectors: DataFrame, query: DataFrame, embedding: str = "embedding") -> DataFrame:
-    """vectors with similarity to the one row of query (column `query_vector`), which is broadcast: it is one vector."""
-    one = query.select("query_vector", fv.length(F.col("query_vector")).alias("query_length"))
+    """vectors with similarity to the one row of query (column `query_vector`), which is broadcast: an aggregate makes it one.
+
+    No row gives no rows, and several fail.
+    """
+    one = query.agg(F.any_value("query_vector").alias("query_vector"), F.count("*").alias("n")).filter(F.when(F.col("n") > 1, F.raise_error(F.lit("more than one query vector"))).otherwise(F.col("n") == 1))
+    one = one.select("query_vector", fv.length(F.col("query_vector")).alias("query_length"))
     similarity = fv.cosine(F.col(embedding), F.col("query_vector"), length_b=F.col("query_length"))
     return vectors.crossJoin(F.broadcast(one)).withColumn("similarity", similarity).drop("query_vector", "query_length")
 
@@ -60,7 +64,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, query_key: str, k: int,
     """
     vectors = vectors.select(*key, embedding, fv.length(F.col(embedding)).alias("own_length"))
     queries = queries.select(query_key, "query_vector", fv.length(F.col("query_vector")).alias("query_length"))
-    n = -(-queries.count() // block)
+    n = max(1, -(-queries.count() // block))  # no queries: one empty block
     out = None
     for i in range(n):
         part = queries.filter(F.pmod(F.xxhash64(query_key), F.lit(n)) == i) if n > 1 else queries

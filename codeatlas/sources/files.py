@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from codeatlas.functions.language import file_name
 from codeatlas.shared import share_code
 
+LOG = logging.getLogger("codeatlas")
+
 #: Folders whose files are passed over, and the extensions taken by default (fixed values).
 EXCLUDED = ("/.git/", "/node_modules/", "/build/", "/target/", "/.gradle/")
 EXTENSIONS = ("java", "kt", "js", "ts", "py", "go", "rs", "cpp", "c", "h", "cs", "rb", "php", "swift", "scala")
@@ -44,11 +47,21 @@ def wanted(path: str, extensions: list[str] | None) -> bool:
     return any(name.endswith(f".{e}") for e in (extensions or EXTENSIONS))
 
 
+def folders_in(folder: str) -> list[str]:
+    """The folders directly in a folder; none, with a warning, if it can't be read: the rest of the tree is scanned all the same."""
+    try:
+        with os.scandir(folder) as found:
+            return [e.path for e in found if e.is_dir(follow_symlinks=False)]
+    except OSError as e:
+        LOG.warning("passed over %s: %s", folder, e)
+        return []
+
+
 def subtrees(root: str, parts: int) -> list[tuple[str, bool]]:
     """Folders to list (alone, or with all below) that together hold the tree: about `parts` or more of them if it has so many."""
     alone, below = [], [root]
     while below and len(below) < parts:
-        found = [e.path for d in below for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
+        found = [path for d in below for path in folders_in(d)]
         alone += below
         below = [d for d in found if not any(part in f"{d}/" for part in EXCLUDED)]
     return [(d, False) for d in alone] + [(d, True) for d in below]

@@ -54,6 +54,64 @@ def test_stream_of_upserts(spark, tmp_path):
     assert [r["content"] for r in index.table(spark, at, "vectors").collect()] == ["new"]
 
 
+def vector_rows(spark, *rows):
+    schema = "file_path string, package_name string, class_name string, method_name string, content string, embedding array<float>, seq long"
+    return spark.createDataFrame([(f, "", "", "m", c, [1.0], i) for i, (f, c) in enumerate(rows)], schema)
+
+
+def contents(spark, at):
+    return {r["file_path"]: r["content"] for r in index.table(spark, at, "vectors").collect()}
+
+
+def test_upserts_rewrite_only_the_buckets_they_touch(spark, tree, tmp_path):
+    at = str(tmp_path / "i")
+    index.build(spark, str(tree), at)
+    index.upsert(spark, at, vector_rows(spark, *((f"f{i}", "old") for i in range(200))))
+    before = index.folders(spark, at)
+    index.upsert(spark, at, vector_rows(spark, ("f7", "first"), ("f7", "last")))
+    after = index.folders(spark, at)
+    assert after["nodes"] == before["nodes"] and after["edges"] == before["edges"]
+    assert len(before["vectors"]) == len(after["vectors"]) == len(set(before["vectors"]) & set(after["vectors"])) + 1
+    got = contents(spark, at)
+    assert got["f7"] == "last" and [got[f"f{i}"] for i in range(200) if i != 7] == ["old"] * 199
+    assert index.upsert(spark, at, vector_rows(spark).limit(0)) == index.version(spark, at) == 3
+    versions = [p.name for p in (tmp_path / "i").iterdir() if not p.name.startswith(".")]
+    assert sorted(v for v in versions if v.startswith("CURRENT")) == ["CURRENT-2", "CURRENT-3"]
+    named = {f.split("/")[0] for n in (2, 3) for fs in index.folders(spark, at, n).values() for f in fs}
+    assert {v for v in versions if not v.startswith("CURRENT")} == named
+
+
+def test_a_writer_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    """At every step before the pointer's rename, and after it."""
+    at = str(tmp_path / "i")
+    index.upsert(spark, at, vector_rows(spark, ("f", "old")))
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    for step in ("write", "point"):
+        with monkeypatch.context() as m:
+            m.setattr(index, step, die)
+            with pytest.raises(KeyboardInterrupt):
+                index.upsert(spark, at, vector_rows(spark, ("f", "new")))
+        assert contents(spark, at) == {"f": "old"}
+    with monkeypatch.context() as m:
+        m.setattr(index, "clear", die)
+        with pytest.raises(KeyboardInterrupt):
+            index.upsert(spark, at, vector_rows(spark, ("f", "new")))
+    assert contents(spark, at) == {"f": "new"}
+
+
+def test_of_two_writers_the_second_has_to_run_again(spark, tmp_path):
+    at = str(tmp_path / "i")
+    index.upsert(spark, at, vector_rows(spark, ("f", "old")))
+    seen = index.version(spark, at)
+    index.upsert(spark, at, vector_rows(spark, ("g", "other")))
+    with pytest.raises(index.Conflict):
+        index.publish(spark, at, {"vectors": index.table(spark, at, "vectors").limit(0)}, seen)
+    assert contents(spark, at) == {"f": "old", "g": "other"}
+
+
 def test_cli(spark, tree, tmp_path, capsys):
     home, at = str(tmp_path / "home"), str(tmp_path / "i")
     assert cli.main([], spark) == 0 and cli.main(["semi", "--home", home], spark) == 0

@@ -65,6 +65,16 @@ def test_batch_top_k_over_blocks_equals_one_block(spark):
     assert rows(2) == rows(512) and len(rows(2)) == 18
 
 
+def test_no_queries_and_several(spark):
+    df = store(spark, ("f", "", "a", [1.0]))
+    none = spark.createDataFrame([], "q long, query_vector array<float>")
+    got = vectors.batch_top_k(df, none, "q", 3, ["file_path"])
+    assert got.count() == 0 and got.columns == ["q", "file_path", "similarity", "rank"]
+    assert vectors.top_k(df, none.drop("q"), 3).count() == 0
+    with pytest.raises(Exception, match="more than one query vector"):
+        vectors.top_k(df, query(spark, [1.0]).union(query(spark, [2.0])), 3).collect()
+
+
 def test_normalized(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>").select(fv.normalized(F.col("v")).alias("u"))
     assert [[round(x, 6) for x in r["u"]] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0]]
