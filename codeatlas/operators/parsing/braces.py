@@ -243,6 +243,6 @@ def fields(flat: str, lang: str) -> list[str]:
         else:
             m = re.search(r"^[\w$:.<>,\[\]?*&\s]+[\s*&>\]]([A-Za-z_$][\w$]*)\s*(?:\[[^\]]*\])*$", first)
         if m:
-            others = (re.match(r"[\s*&$]*([A-Za-z_$][\w$]*)", x) for x in more)
+            others = (re.match(r"[\s*&$]*([A-Za-z_$][\w$]*)", FIELD.sub("", x.strip())) for x in more)
             out += [m[1], *(x[1] for x in others if x)]
     return out

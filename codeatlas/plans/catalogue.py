@@ -11,7 +11,7 @@ from codeatlas.functions import embedding as fe
 from codeatlas.functions import language as fl
 from codeatlas.functions import vectors as fv
 from codeatlas.operators import chunks, extract, graph, vectors
-from codeatlas.operators.parsing import whole_files
+from codeatlas.operators.parsing import called_names, parse_files, whole_files
 from codeatlas.plans import index
 from codeatlas.plans import proxies as p
 from codeatlas.sources import files
@@ -223,11 +223,25 @@ def graph_bfs_filtered(spark, d):
     return graph.bfs(p.graph_nodes(spark, d), p.graph_edges(spark, d), "region:1", 3, {"contains"})
 
 
-@query(f"WITH RECURSIVE {p.GRAPH_SQL}, walk AS (SELECT 'region:' || r_regionkey AS root, 'region:' || r_regionkey AS node_id FROM region UNION SELECT root, dst FROM walk JOIN edges ON src = node_id WHERE rel = 'contains') SELECT root, node_id FROM walk")
+@query(
+    f"WITH RECURSIVE {p.GRAPH_SQL}, ordered AS (SELECT *, CAST(string_split(dst, ':')[2] AS BIGINT) AS seq FROM edges), "
+    "walk AS (SELECT 'region:' || r_regionkey AS root, 'region:' || r_regionkey AS node_id, CAST(0 AS BIGINT) AS depth, CAST([] AS BIGINT[]) AS way FROM region "
+    "UNION ALL SELECT root, dst, depth + 1, list_append(way, seq) FROM walk JOIN ordered ON src = node_id WHERE rel = 'contains') "
+    "SELECT root, node_id, depth, row_number() OVER (PARTITION BY root ORDER BY way) - 1 AS pos FROM walk"
+)
 def graph_dfs(spark, d):
-    """Walks from every region; the bound doesn't bind, so the set is what can be reached."""
+    """Walks from every region through its nations and their customers, in order."""
     roots = p.graph_nodes(spark, d).filter("node_type = 'region'").select(F.col("node_id").alias("root"))
-    return graph.dfs(p.graph_nodes(spark, d), p.graph_edges(spark, d), roots, 10, {"contains"}).select("root", "node_id")
+    return graph.dfs(p.graph_nodes(spark, d), p.graph_edges(spark, d), roots, 10, {"contains"})
+
+
+DFS_ROWS = "('a', 'a', 0, 0), ('a', 'b', 1, 1), ('a', 'c', 2, 2), ('a', 'e', 1, 3), ('a', 'd', 2, 4), ('b', 'b', 0, 0), ('b', 'c', 1, 1), ('b', 'd', 2, 2), ('b', 'f', 2, 3)"
+
+
+@query(f"SELECT root, node_id, CAST(depth AS BIGINT) AS depth, CAST(pos AS BIGINT) AS pos FROM (VALUES {DFS_ROWS}) AS t(root, node_id, depth, pos)")
+def graph_dfs_bound(spark, d):
+    """The bound binds on a cyclic graph: from a, c is met at depth 2, so that f stays hidden though a shorter way reaches it."""
+    return graph.dfs(*p.loop_graph(spark), spark.createDataFrame([("a",), ("b",), ("none",)], "root string"), 2)
 
 
 @query(
@@ -263,8 +277,15 @@ def graph_extract_edges(spark, d):
 # Files, languages, chunks
 
 EXT = r"lower(regexp_extract(name, '^.+\.([^.]+)$', 1))"
-LANGUAGE = f"CASE {EXT} " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in fl.LANGUAGES.items()) + " END"
-FINE = "name NOT LIKE '.%' AND " + " AND ".join(f"path NOT LIKE '%{x}%'" for x in files.EXCLUDED)
+# The oracles' own lists (fixed values), not those of the code under test.
+BY_EXTENSION = (
+    "('java', 'JAVA'), ('py', 'PYTHON'), ('js', 'JAVASCRIPT'), ('jsx', 'JAVASCRIPT'), ('ts', 'TYPESCRIPT'), ('tsx', 'TSX'), ('go', 'GO'), ('rs', 'RUST'), ('c', 'C'), ('h', 'C'), "
+    "('cpp', 'CPP'), ('cc', 'CPP'), ('cxx', 'CPP'), ('hpp', 'CPP'), ('cs', 'C_SHARP'), ('rb', 'RUBY'), ('php', 'PHP'), ('swift', 'SWIFT'), ('kt', 'KOTLIN'), ('kts', 'KOTLIN'), "
+    "('scala', 'SCALA'), ('dart', 'DART'), ('lua', 'LUA'), ('r', 'R'), ('bash', 'BASH'), ('sh', 'BASH')"
+)
+LANGUAGE = f"(SELECT language FROM (VALUES {BY_EXTENSION}) AS known(ext, language) WHERE ext = {EXT})"
+FINE = "name NOT LIKE '.%' AND path NOT LIKE '%/.git/%' AND path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/build/%' AND path NOT LIKE '%/target/%' AND path NOT LIKE '%/.gradle/%'"
+TAKEN = "'java', 'kt', 'js', 'ts', 'py', 'go', 'rs', 'cpp', 'c', 'h', 'cs', 'rb', 'php', 'swift', 'scala'"
 
 
 @query(f"WITH {p.PATHS_SQL} SELECT path, {LANGUAGE} AS language FROM paths")
@@ -282,12 +303,12 @@ def language_histogram(spark, d):
     return p.paths(spark, d).groupBy(fl.language(F.col("path")).alias("language")).agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{n}')" for e, n in fl.LANGUAGES.items()) + ") AS t(ext, language)")
+@query(f"SELECT * FROM (VALUES {BY_EXTENSION}) AS t(ext, language)")
 def supported_extensions(spark, d):
     return fl.supported_extensions(spark)
 
 
-@query(f"WITH {p.PATHS_SQL} SELECT path FROM paths WHERE {FINE} AND name LIKE '%.%' AND regexp_extract(name, '[^.]+$') IN ({', '.join(map(repr, files.EXTENSIONS))})")
+@query(f"WITH {p.PATHS_SQL} SELECT path FROM paths WHERE {FINE} AND name LIKE '%.%' AND regexp_extract(name, '[^.]+$') IN ({TAKEN})")
 def file_filter(spark, d):
     return p.paths(spark, d).filter(files.included(F.col("path"))).select("path")
 
@@ -359,15 +380,73 @@ def fallback_whole_file(spark, d):
     return whole_files(rows).select(F.col("file_path").alias("path"), "method_name", F.length("content").cast("long").alias("content_len"))
 
 
-CALLED = r"([A-Za-z_][A-Za-z0-9_]*)\("
+CALLED = r"([A-Za-z_][A-Za-z0-9_]*)\("  # the oracle's own
 
 
 @query(f"SELECT page_id, callee, count(*) AS cnt FROM (SELECT page_id, unnest(regexp_extract_all(html, '{CALLED}', 1)) AS callee FROM pages) GROUP BY ALL")
 def callee_regexp(spark, d):
-    found = p.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(CALLED), F.lit(1))).alias("callee"))
+    """Callees of texts that no parser knows."""
+    found = p.table(spark, d, "pages").select("page_id", F.explode(called_names(F.col("html"))).alias("callee"))
     return found.groupBy("page_id", "callee").agg(F.count("*").alias("cnt"))
 
 
+METADATA_ROWS = (
+    "('/src/HelloWorld.java', 'JAVA', 'com.example', 'HelloWorld', 'message,other,counts'), ('/src/vector.cpp', 'CPP', 'store', 'Vector', 'n,m'), ('/src/tool.py', 'PYTHON', '', 'Tool', 'size'), "
+    "('/src/add.ts', 'TYPESCRIPT', '', '', ''), ('/src/main.go', 'GO', 'main', 'Server', 'host,port'), ('/src/top.rs', 'RUST', '', 'P', 'x,y'), ('/src/nul.py', 'PYTHON', '', '', ''), "
+    "('/src/notes.txt', NULL, '', '', ''), ('/src/bad.py', 'PYTHON', '', '', '')"
+)
+
+
+@query(f"SELECT * FROM (VALUES {METADATA_ROWS}) AS t(file_path, language, package_name, class_name, properties)")
+def parse_metadata(spark, d):
+    """Package, class and fields of small sources: decorated and templated ones, several names in a declaration."""
+    return parse_files(p.sources(spark)).select("file_path", "language", "package_name", "class_name", F.array_join("properties", ",").alias("properties"))
+
+
+METHOD_ROWS = (
+    "('/src/HelloWorld.java', 0, 'HelloWorld', '', 'message', 8, 8), ('/src/HelloWorld.java', 1, 'sayHello', 'Map<K, String>', 'to,n', 11, 14), ('/src/HelloWorld.java', 2, 'getMessage', 'String', '', 16, 16), "
+    "('/src/vector.cpp', 0, 'Vector', '', 'a', 5, 5), ('/src/vector.cpp', 1, '~Vector', '', '', 6, 6), ('/src/vector.cpp', 2, 'size', 'int', '', 7, 7), "
+    "('/src/tool.py', 0, 'run', 'int', 'self,a,rest', 4, 5), ('/src/tool.py', 1, 'last', '', 'self', 10, 11), ('/src/add.ts', 0, 'add', 'number', 'a,b', 1, 1), ('/src/add.ts', 1, 'each', '', 'list', 2, 4), "
+    "('/src/main.go', 0, 'Run', 'error', 'a', 7, 9), ('/src/top.rs', 0, 'new', 'P', 'x', 3, 3)"
+)
+
+
+def methods(spark: SparkSession) -> DataFrame:
+    return parse_files(p.sources(spark)).select("file_path", F.posexplode("methods").alias("pos", "m")).select("file_path", "pos", "m.*")
+
+
+@query(f"SELECT file_path, CAST(pos AS INT) AS pos, name, return_type, parameters, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line FROM (VALUES {METHOD_ROWS}) AS t(file_path, pos, name, return_type, parameters, start_line, end_line)")
+def parse_methods(spark, d):
+    """Methods in source order: constructors, destructors, generics, arrows, generators, and what a syntax error leaves."""
+    return methods(spark).select("file_path", "pos", "name", "return_type", F.array_join("parameters", ",").alias("parameters"), "start_line", "end_line")
+
+
+BODY_ROWS = (
+    "('/src/HelloWorld.java', 'HelloWorld', '{ this.message = check(message); }'), ('/src/HelloWorld.java', 'getMessage', '{ return message; }'), ('/src/vector.cpp', 'Vector', '{ init(a); }'), "
+    "('/src/vector.cpp', '~Vector', '{ release(); }'), ('/src/vector.cpp', 'size', '{ return count(); }'), ('/src/tool.py', 'run', '        return outer(inner(a))'), ('/src/tool.py', 'last', '        self.run(1)'), "
+    "('/src/add.ts', 'add', 'plus(a, b)'), ('/src/top.rs', 'new', '{ make(x) }')"
+)
+
+
+@query(f"SELECT * FROM (VALUES {BODY_ROWS}) AS t(file_path, name, body)")
+def parse_bodies(spark, d):
+    """The text of each method's body that is one line."""
+    return methods(spark).filter(~F.contains("body", F.lit("\n"))).select("file_path", "name", "body")
+
+
+CALLEE_ROWS = (
+    "('/src/HelloWorld.java', 'HelloWorld', 0, 'check'), ('/src/HelloWorld.java', 'sayHello', 0, 'println'), ('/src/HelloWorld.java', 'sayHello', 1, 'getMessage'), ('/src/HelloWorld.java', 'sayHello', 2, 'build'), "
+    "('/src/vector.cpp', 'Vector', 0, 'init'), ('/src/vector.cpp', '~Vector', 0, 'release'), ('/src/vector.cpp', 'size', 0, 'count'), ('/src/tool.py', 'run', 0, 'outer'), ('/src/tool.py', 'run', 1, 'inner'), "
+    "('/src/tool.py', 'last', 0, 'run'), ('/src/add.ts', 'add', 0, 'plus'), ('/src/add.ts', 'each', 0, 'next'), ('/src/main.go', 'Run', 0, 'listen'), ('/src/top.rs', 'new', 0, 'make')"
+)
+
+
+@query(f"SELECT file_path, name, CAST(pos AS INT) AS pos, callee FROM (VALUES {CALLEE_ROWS}) AS t(file_path, name, pos, callee)")
+def parse_callees(spark, d):
+    """Calls of each method, outer ones before those within them."""
+    return methods(spark).select("file_path", "name", F.posexplode("callees").alias("pos", "callee"))
+
+
 @query(
     f"WITH {p.PARSED_SQL} SELECT 'total_chunks' AS metric, CAST(sum(greatest(n, 1)) AS BIGINT) AS value FROM files UNION ALL SELECT 'vectors', CAST(sum(greatest(n, 1)) AS BIGINT) FROM files "
     "UNION ALL SELECT 'nodes', count(*) FROM all_nodes UNION ALL SELECT 'edges', count(*) FROM all_edges UNION ALL SELECT 'total_calls', count(*) FROM calls"
@@ -390,22 +469,45 @@ def http_payload_parse(spark, d):
     return rows.select("id", F.array_join(fe.payload_vector(F.col("payload")).cast("array<string>"), ",").alias("embedding_str"))
 
 
-@query("SELECT doc_id, CAST(768 AS BIGINT) AS dim FROM documents")
+# The mock's vectors in SQL: a text's polynomial hash over UTF-16 units seeds a 48-bit generator, whose i-th state is a jump.
+UNITS = "flatten([CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END for c in string_split(text, '') if c <> ''])"
+DRAWS = (
+    "jump AS (SELECT 0 AS i, CAST(25214903917 AS HUGEINT) AS a, CAST(11 AS HUGEINT) AS c UNION ALL "
+    "SELECT i + 1, a * 25214903917 % 281474976710656, (c * 25214903917 + 11) % 281474976710656 FROM jump WHERE i < 767), "
+    f"hashed AS (SELECT id, list_reduce(list_prepend(CAST(0 AS BIGINT), {UNITS}), lambda h, u: (h * 31 + u) % 4294967296) AS h FROM texts), "
+    "seeded AS (SELECT id, xor(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END, 25214903917) & 281474976710655 AS seed FROM hashed), "
+    "draws AS (SELECT id, i, CAST((a * seed + c) % 281474976710656 // 16777216 AS DOUBLE) / 16777216 * 2 - 1 AS x FROM seeded, jump), "
+    "norms AS (SELECT id, sqrt(sum(x * x)) AS norm FROM draws GROUP BY id)"
+)
+MOCK_VALUES = ", ".join(f"round(max(CASE WHEN i = {i} THEN x / norm END), 2) + 0.0 AS v{i}" for i in (0, 1, 767))
+
+
+@query(
+    f"WITH RECURSIVE texts AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {DRAWS} "
+    f"SELECT id AS doc_id, CAST(count(*) AS BIGINT) AS dim, CAST(sum(CASE WHEN x > 0 AND i < 48 THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) AS signs, {MOCK_VALUES} FROM draws JOIN norms USING (id) GROUP BY id"
+)
 def mock_embed(spark, d):
-    docs = p.table(spark, d, "documents").select("doc_id", "text")
-    return fe.embed(docs, "text", fe.create("mock")).select("doc_id", F.size("embedding").cast("long").alias("dim"))
+    """Number of values, the signs of the first 48 as bits, and three values."""
+    docs = fe.embed(p.table(spark, d, "documents").select("doc_id", "text"), "text", fe.create("mock"))
+    bits = F.transform(F.slice("embedding", 1, 48), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    values = [(F.round(F.col("embedding")[i].cast("double"), 2) + 0.0).alias(f"v{i}") for i in (0, 1, 767)]
+    return docs.select("doc_id", F.size("embedding").cast("long").alias("dim"), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b).alias("signs"), *values)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE texts AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL (SELECT -1, text FROM benchmark ORDER BY item_id LIMIT 1)), {DRAWS}, "
+    "scored AS (SELECT d.id AS doc_id, sum(d.x * q.x) / (any_value(n.norm) * any_value(m.norm)) AS similarity FROM draws d JOIN draws q ON q.id = -1 AND q.i = d.i JOIN norms n ON n.id = d.id JOIN norms m ON m.id = -1 WHERE d.id <> -1 GROUP BY d.id) "
+    "SELECT row_number() OVER (ORDER BY round(similarity, 6) DESC, doc_id) AS rank, doc_id, round(similarity, 4) AS similarity FROM scored QUALIFY rank <= 5"
+)
 def text_search(spark, d):
     model = fe.create("mock")
     text = p.table(spark, d, "benchmark").orderBy("item_id").first()["text"]
     q = spark.createDataFrame([(model.vector(text),)], "query_vector array<float>")
     stored = fe.embed(p.table(spark, d, "documents").select("doc_id", "text"), "text", model)
-    return vectors.ranked(vectors.top_k(stored, q, 5, key=("doc_id",)), ["doc_id"]).select("rank", "doc_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.ranked(vectors.top_k(stored, q, 5, key=("doc_id",)), ["doc_id"]).select("rank", "doc_id", F.round("similarity", 4).alias("similarity"))
 
 
-@query("SELECT '/src/bad.py' AS path, 'not valid UTF-8' AS error")
+@query("SELECT * FROM (VALUES ('/src/bad.py', 'not valid UTF-8'), ('/src/nul.py', 'SyntaxError: source code string cannot contain null bytes')) AS t(path, error)")
 def build_errors(spark, d):
-    rows = spark.createDataFrame([("/src/bad.py", bytearray(b"\xff\xfe")), ("/src/good.py", bytearray(b"x = 1\n"))], "path string, content binary")
-    return files.decoded(rows).filter("error is not null").select("path", "error")
+    """Files that can't be read or parsed; the others are parsed all the same."""
+    return index.errors(parse_files(p.sources(spark)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeatlas import schemas
+from codeatlas.sources import files
+
 #: Extensions of the made-up paths: known ones, one in capitals, unknown ones and none.
 EXTENSIONS = ("java", "py", "TS", "tsx", "go", "rs", "txt", "hpp", "R", "")
 
@@ -76,8 +79,91 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATHS_SQL = f"paths AS (SELECT doc_id, text, {PATH} AS path, regexp_extract({PATH}, '[^/]+$') AS name FROM documents)"
 
 
+#: Small sources, one of them with syntax errors, that queries parse; what must come of each is written out beside the query.
+SOURCES = [
+    ("/src/HelloWorld.java", """package com.example;
+
+@Entity(name = "x")
+public class HelloWorld {
+    private String message, other = "a(b)";
+    @Column protected Map<String, List<String>> counts;
+
+    HelloWorld(String message) { this.message = check(message); }
+
+    @Override
+    public <K> Map<K, String> sayHello(@Nullable K to, int n) throws Exception {
+        System.out.println(getMessage()); // not(this)
+        return build(to, n);
+    }
+
+    public String getMessage() { return message; }
+}
+"""),
+    ("/src/vector.cpp", """namespace store {
+template <class T> class Vector : public Base {
+public:
+  int n = 1, *m;
+  Vector(int a) : n(a) { init(a); }
+  ~Vector() { release(); }
+  int size() const { return count(); }
+};
+}
+"""),
+    ("/src/tool.py", """class Tool:
+    size = 1
+
+    def run(self, a, *rest) -> int:
+        return outer(inner(a))
+
+    def broken(:
+        pass
+
+    def last(self):
+        self.run(1)
+"""),
+    ("/src/add.ts", """export const add = (a: number, b: number): number => plus(a, b);
+function* each(list: number[]) {
+  yield next(list);
+}
+"""),
+    ("/src/main.go", """package main
+
+type Server struct {
+  host, port string
+}
+
+func (s *Server) Run(a int) error {
+  return listen(s.host, a)
+}
+"""),
+    ("/src/top.rs", """struct P { x: i32, pub y: i32 }
+impl P {
+  pub fn new(x: i32) -> P { make(x) }
+}
+"""),
+    ("/src/nul.py", "def f():\0"),
+    ("/src/notes.txt", "call(me)"),
+]
+
+
+def sources(spark: SparkSession) -> DataFrame:
+    """SOURCES, and a file that isn't UTF-8, as a scan gives them."""
+    rows = [(path, bytearray(code.encode())) for path, code in SOURCES] + [("/src/bad.py", bytearray(b"x = 1\xff\xfe"))]
+    return files.decoded(spark.createDataFrame(rows, "path string, content binary"))
+
+
+#: An acyclic part and a way back; the walk meets `c` and `d` deeper than the shortest way does.
+LOOP_NODES = ("a", "b", "c", "d", "e", "f")
+LOOP_EDGES = (("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), ("a", "e"), ("e", "d"), ("d", "a"), ("c", "f"), ("e", "missing"))
+
+
+def loop_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    nodes = spark.createDataFrame([(n, "c", n, "") for n in LOOP_NODES], schemas.NODES)
+    return nodes, spark.createDataFrame([(*e, "calls", i) for i, e in enumerate(LOOP_EDGES)], schemas.EDGES)
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as parsed files with doc_id % 3 methods, each calling the text's first three words."""
+    """Documents as parsed files with doc_id % 3 methods, each calling the text's first three words: a stand-in for calls, no cut of an input."""
     docs = table(spark, sf_dir, "documents")
     method = lambda i: F.struct(
         F.concat(F.lit("m"), i.cast("string")).alias("name"), F.lit("").alias("return_type"), F.array().cast("array<string>").alias("parameters"), F.col("text").alias("body"),
