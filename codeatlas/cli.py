@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     semi.add_argument("-m", "--model")
     semi.add_argument("--model-name")
     semi.add_argument("--model-path")
+    semi.add_argument("--model-loader", help="module:function that loads the model at the model path; ONNX graphs need none")
     semi.add_argument("--embedding-dim", type=int)
     semi.add_argument("--api-key")
     semi.add_argument("--batch-size", type=int)
@@ -66,7 +67,7 @@ def run_semi(args: argparse.Namespace, spark: SparkSession | None) -> int:
     config = cfg.load(args.home)
     options = {"model": args.model, "model_name": args.model_name, "dimension": args.embedding_dim, "model_path": args.model_path, "api_key": args.api_key, "batch_size": args.batch_size}
     e = cfg.with_options(config, **options)
-    model = fe.create(e.model, e.model_name, e.dimension, e.model_path, e.api_key)
+    model = fe.create(e.model, e.model_name, e.dimension, e.model_path, e.api_key, fe.loader(args.model_loader) if args.model_loader else None)
     if args.query == "build":
         index, path = os.path.abspath(args.output or config.index_dir), os.path.abspath(args.path or ".")
         if not os.path.exists(path):

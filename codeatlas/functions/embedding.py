@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import http.client
+import importlib
 import json
 import os
 import urllib.error
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from codeatlas.shared import share_code
 
+#: Seconds to connect to a service, and to wait for what it sends (fixed values).
+CONNECT_TIMEOUT, READ_TIMEOUT = 30, 60
 MOCK_DIMENSION, HTTP_DIMENSION, LOCAL_DIMENSION = 768, 1024, 768
 #: Constants of the 48-bit linear congruential generator that seeds the mock (fixed values).
 MULTIPLIER, INCREMENT, MASK = 0x5DEECE66D, 0xB, (1 << 48) - 1
@@ -67,11 +71,33 @@ def mock_vector(text: str) -> np.ndarray:
     return unit(draws * np.float32(2) - np.float32(1))
 
 
+class _Connection(http.client.HTTPConnection):
+    def connect(self) -> None:
+        super().connect()
+        self.sock.settimeout(READ_TIMEOUT)
+
+
+class _SecureConnection(http.client.HTTPSConnection):
+    def connect(self) -> None:
+        super().connect()
+        self.sock.settimeout(READ_TIMEOUT)
+
+
+class _Http(urllib.request.HTTPHandler):
+    def http_open(self, request):
+        return self.do_open(_Connection, request)
+
+
+class _Https(urllib.request.HTTPSHandler):
+    def https_open(self, request):
+        return self.do_open(_SecureConnection, request)
+
+
 def http_request(url: str, model: str, text: str, api_key: str | None) -> np.ndarray:
     headers = {"Content-Type": "application/json; charset=utf-8"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
     request = urllib.request.Request(url, json.dumps({"model": model, "input": text}).encode(), headers)
     try:
-        with urllib.request.urlopen(request, timeout=60) as answer:
+        with urllib.request.build_opener(_Http, _Https).open(request, timeout=CONNECT_TIMEOUT) as answer:
             return unit(np.array(response_vector(json.loads(answer.read())), np.float32))
     except urllib.error.HTTPError as e:
         raise OSError(f"HTTP request failed with code {e.code}: {e.read().decode('utf-8', 'replace')}") from e
@@ -108,8 +134,18 @@ class Model:
         return [float(x) for x in self.make()(text)]
 
 
+def loader(name: str) -> Callable[[str], Callable[[str], np.ndarray]]:
+    """The loader that `module:function` names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def create(model: str | None, model_name: str | None = None, dimension: int | None = None, model_path: str | None = None, api_key: str | None = None, local: Callable[[str], Callable[[str], np.ndarray]] | None = None) -> Model:
-    """The mock for no model or `mock`; an HTTP service for a URL; for a model path a local model, which `local` loads; else the mock."""
+    """The mock for no model or `mock`; an HTTP service for a URL; for a model path a local model; else the mock.
+
+    A local model is loaded by `local`, or by `local_model.load` if its folder holds an ONNX graph; the folder must be at the
+    same path on all executors.
+    """
     model = (model or "").strip() or None
     name = (model_name or "").strip() or model or "mock"
     ident = model or name
@@ -123,7 +159,11 @@ def create(model: str | None, model_name: str | None = None, dimension: int | No
         if not os.path.isdir(path):
             raise FileNotFoundError(f"model path does not exist: {path}")
         if local is None:
-            raise ValueError("a local model needs a loader: pass local=")
+            from codeatlas.functions import local_model
+
+            if local_model.graph_in(path) is None:
+                raise ValueError("a model without an ONNX graph needs a loader: pass local=")
+            local = local_model.load
         return Model(ident, "local", infer_dimension(path, dimension or 0), lambda: (lambda f: lambda text: unit(np.asarray(f(text), np.float32)))(local(path)))
     return mock
 

@@ -183,3 +183,101 @@ def test_cut_tables_can_be_dropped(spark, tmp_path, monkeypatch):
         assert shared.cut(spark.range(5), "inner").count() == 5
     shared.drop(gone, spark.range(1))
     assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"] and kept.count() == 3
+
+
+def onnx_lookup(table):
+    """A graph that gives each token its row of table, written byte by byte: fields of the public protobuf schema."""
+    varint = lambda x: bytes([x & 127 | 128]) + varint(x >> 7) if x > 127 else bytes([x])
+    message = lambda n, b: varint(n << 3 | 2) + varint(len(b)) + b
+    number = lambda n, x: varint(n << 3) + varint(x)
+    value = lambda name, kind, dims: message(1, name) + message(2, message(1, number(1, kind) + message(2, b"".join(message(1, message(2, d)) for d in dims))))
+    tensor = b"".join(number(1, d) for d in table.shape) + number(2, 1) + message(8, b"table") + message(9, table.astype("<f4").tobytes())
+    node = message(1, b"table") + message(1, b"input_ids") + message(2, b"out") + message(4, b"Gather")
+    ids = message(11, value(b"input_ids", 7, (b"b", b"s"))) + message(11, value(b"attention_mask", 7, (b"b", b"s")))
+    graph = message(1, node) + message(2, b"g") + message(5, tensor) + ids + message(12, value(b"out", 1, (b"b", b"s", b"d")))
+    return number(1, 8) + message(7, graph) + message(8, number(2, 13))
+
+
+@pytest.fixture
+def local_folder(tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    tokenizer = Tokenizer(WordLevel({"none": 0, "red": 1, "green": 2}, "none"))
+    tokenizer.pre_tokenizer = Whitespace()
+    at = tmp_path / "model"
+    at.mkdir()
+    tokenizer.save(str(at / "tokenizer.json"))
+    (at / "model.onnx").write_bytes(onnx_lookup(np.array([[0, 0], [3, 0], [1, 4]], np.float32)))
+    return at
+
+
+def test_local_model(spark, tree, tmp_path, local_folder, capsys):
+    own = fe.create("org/model", model_path=str(local_folder))
+    assert own.kind == "local" and np.allclose(own.vector("red green"), np.array([4, 4]) / np.sqrt(32))
+    for flag, want in (("cls_token", [3, 0]), ("max_tokens", [3, 4]), ("weightedmean_tokens", [5, 8]), ("mean_sqrt_len_tokens", [4, 4])):
+        (local_folder / "sentence_transformers_config.json").write_text(json.dumps({"pooling_config": {f"pooling_mode_{flag}": True}}))
+        assert np.allclose(own.vector("red green"), fe.unit(np.array(want, np.float32))), flag
+    rows = fe.embed(spark.createDataFrame([(1, "green"), (2, "red")], "id long, text string"), "text", own).orderBy("id").collect()
+    assert np.allclose(rows[1]["embedding"], [1, 0]) and len(rows[0]["embedding"]) == 2
+    home, at = str(tmp_path / "home"), str(tmp_path / "i")
+    options = ["--home", home, "-m", "org/model", "--model-path", str(local_folder)]
+    assert cli.main(["semi", "build", "-p", str(tree), "-o", at, *options], spark) == 0
+    assert cli.main(["semi", "red", "-i", at, *options, "--model-loader", "codeatlas.functions.local_model:load"], spark) == 0
+    assert "results for 'red'" in capsys.readouterr().out
+    logging.getLogger("codeatlas").setLevel(logging.WARNING)
+
+
+def test_engine_fallback(local_folder, monkeypatch):
+    from codeatlas.functions import local_model
+
+    monkeypatch.setenv(local_model.ENGINE_VARIABLE, "NoSuchEngine")
+    assert np.allclose(local_model.load(str(local_folder))("red"), [3, 0])
+    assert np.allclose(local_model.load(str(local_folder), "cpu")("red"), [3, 0])
+    tried = []
+
+    def build(error):
+        def of(engine):
+            tried.append(engine)
+            if engine:
+                raise OSError("outer") from error
+            return "default"
+
+        return of
+
+    assert [local_model.with_fallback(build(ValueError(m)), "X") for m in ("No PyTorch engine", "Model doesn't support specified engine: X", "Engine PyTorch is not available", "No matching engine")] == ["default"] * 4
+    with pytest.raises(OSError, match="outer"):
+        local_model.with_fallback(build(ValueError("disk full")), "X")
+    assert tried == ["X", None] * 4 + ["X"] and local_model.with_fallback(build(None), None) == "default"
+
+
+def test_http_service():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], self.headers["Content-Type"], body))
+            self.send_response(500 if body["input"] == "fail" else 200)
+            self.end_headers()
+            self.wfile.write(b"broken" if body["input"] == "fail" else b'{"data": [{"embedding": [3.0, 4.0]}]}')
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/embed"
+        assert np.allclose(fe.create(url, "m", api_key="k").vector("text"), [0.6, 0.8])
+        assert np.allclose(fe.create(url).vector(""), [0.6, 0.8])
+        with pytest.raises(OSError, match="code 500: broken"):
+            fe.create(url).vector("fail")
+    finally:
+        server.shutdown()
+    kind = "application/json; charset=utf-8"
+    assert seen[0] == ("Bearer k", kind, {"model": "m", "input": "text"}) and seen[1][0] is None
