@@ -13,13 +13,16 @@ from . import common
 DIM = 8192
 #: Labelled rows that the classifier is fitted on, at most, for each language.
 MAX_PER_LANG = 400
-#: Languages that the classifier knows, at most: those of the most rows.
+#: Languages that the classifier knows, at most: those of the most rows. Each takes 128 KB of the model that workers hold.
 MAX_LANGS = 1000
 CLUSTERS = 4
 #: Letters of the shortened texts that the rejection distance is fitted on, beside whole texts.
 LENGTHS = (16, 64, 256)
-#: A text is rejected below this share of the least cosine that fitted texts of its size have.
-SLACK = 0.6
+#: A text is rejected if its cosine is below what FOREIGN of the fitted texts of its size reach with centroids of languages
+#: other than their own, as texts of an unknown language do; but never above SLACK times the least that whole fitted texts
+#: have, nor what all but LOW of the shortened ones have; LONE times the least of both for a single language, and for texts
+#: of under 32 letters, which can't be told from foreign ones.
+FOREIGN, SLACK, LOW, LONE = 0.95, 0.9, 0.01, 0.6
 MULT = np.uint64(0x9E3779B97F4A7C15)
 _alpha: np.ndarray | None = None
 
@@ -103,6 +106,8 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, clusters: int = CLUST
     """Fit on a bounded sample of labelled rows that aren't held out; without any, the model knows no language and predicts `und`.
 
     The model knows the max_langs languages with the most rows: a text of another gets the nearest of them, or is rejected.
+    Executors fit each language's centroids in a task of its own and the cosines for the rejection; the driver gets the
+    finished centroids alone.
     """
 
     def make():
@@ -120,40 +125,73 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, clusters: int = CLUST
 
         return run
 
-    rows = common.by_batch(sampled(docs, max_per_lang, max_langs), make, "lang string, size int, at array<int>, n array<int>").toArrow()
-    rows = [{"lang": lang, "size": size, "at": at.values.to_numpy(), "n": n.values.to_numpy()} for lang, size, at, n in zip(*(rows.column(i).to_pylist() if i < 2 else rows.column(i) for i in range(4)), strict=True)]
-    rows.sort(key=lambda r: (r["lang"], r["size"], len(r["at"]), r["at"].tobytes(), r["n"].tobytes()))
-    whole = [r for r in rows if r["size"] < 0]
-
-    def dense(part):
-        x = np.zeros((len(part), DIM), np.float32)
-        for i, r in enumerate(part):
-            x[i, r["at"]] = r["n"]
-        return x
-
-    x = dense(whole)
-    idf = (np.log((1 + len(whole)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    spark = docs.sparkSession
+    rows = common.cut(common.by_batch(sampled(docs, max_per_lang, max_langs), make, "lang string, size int, at array<int>, n array<int>"), "samples")
+    whole = rows.filter("size < 0")
+    n, present = whole.count(), np.zeros(DIM)
+    for r in whole.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # DIM rows at most
+        present[r["at"]] = r["count"]
+    idf = (np.log((1 + n) / (1 + present)) + 1).astype(np.float32)
     model = Model([], np.zeros((0, DIM), np.float32), idf, [0.0] * (len(LENGTHS) + 1))
-    if not whole:
+    if not n:
+        common.drop(rows)
         return model
-    x, langs, centroids = model.vectors(x), [], []
-    of = np.array([r["lang"] for r in whole])
-    for lang in sorted(set(of)):
-        for c in spherical(x[of == lang], clusters):
-            langs.append(str(lang))
-            centroids.append(c)
-    model = Model(langs, np.stack(centroids), idf, model.floor)
-    least = [1.0] * (len(LENGTHS) + 1)
-    for at in range(0, len(rows), 256):
-        part = rows[at : at + 256]
-        for r, best in zip(part, (model.vectors(dense(part)) @ model.centroids.T).max(axis=1), strict=True):
-            k = size_class(sum(r["n"]) // 3)
-            least[k] = min(least[k], float(best))
-    for k in range(1, len(least)):  # a longer text never has to be nearer than was seen
-        least[k] = min(least[k], 0.9)
-    del x, rows, whole
-    common.release()
-    return Model(langs, model.centroids, idf, [SLACK * x if x < 1 else 0.0 for x in least])
+
+    def cluster(group):
+        group = group.assign(key=[(len(a), bytes(a), bytes(c)) for a, c in zip(group["at"], group["n"], strict=True)]).sort_values("key")
+        found = spherical(model.vectors(dense(group["at"], group["n"])), clusters)
+        return type(group)({"lang": [group["lang"].iloc[0]] * len(found), "k": range(len(found)), "centroid": list(found)})
+
+    # about 2 * max_per_lang rows a group at most
+    fitted = whole.groupBy("lang").applyInPandas(cluster, "lang string, k int, centroid array<float>").toArrow().sort_by([("lang", "ascending"), ("k", "ascending")])
+    langs = fitted.column("lang").to_pylist()
+    centroids = fitted.column("centroid").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+    model = Model(langs, centroids, idf, model.floor)
+    floor = floors(rows, spark.sparkContext.broadcast(model))
+    common.drop(rows)
+    return Model(langs, centroids, idf, floor)
+
+
+def dense(at, n) -> np.ndarray:
+    x = np.zeros((len(at), DIM), np.float32)
+    for i, (a, c) in enumerate(zip(at, n, strict=True)):
+        x[i, np.asarray(a, np.int64)] = c
+    return x
+
+
+def floors(rows: DataFrame, sent) -> list[float]:
+    """The cosine of rejection of each size class, from the samples' cosines with all centroids and with those of other languages."""
+
+    def make():
+        model = sent.value
+        of = np.array(model.langs)
+
+        def run(x):
+            out = {"class": [], "whole": [], "own": [], "foreign": []}
+            for at in range(0, len(x["lang"]), 128):
+                part = {k: v[at : at + 128] for k, v in x.items()}
+                cosine = model.vectors(dense(part["at"], part["n"])) @ model.centroids.T
+                others = np.where(np.array(part["lang"])[:, None] != of, cosine, -1.0).max(axis=1)
+                out["whole"] += [size < 0 for size in part["size"]]
+                out["class"] += [size_class(sum(n) // 3) for n in part["n"]]
+                out["own"] += cosine.max(axis=1).astype(float).tolist()
+                out["foreign"] += [float(v) if v >= 0 else None for v in others]
+            return out
+
+        return run
+
+    best = common.by_batch(rows, make, "class int, whole boolean, own double, foreign double")
+    part = F.when(~F.col("whole"), F.col("own"))
+    seen = best.groupBy("class").agg(
+        F.min("own").alias("least"), F.min(F.when(F.col("whole"), F.col("own"))).alias("whole"), F.percentile_approx(part, LOW, 10_000).alias("part"), F.percentile_approx("foreign", FOREIGN, 10_000).alias("foreign")
+    )
+    out = [0.0] * (len(LENGTHS) + 1)  # a text of a class that no sample is in isn't rejected
+    for r in seen.collect():
+        if r["class"] == 0 or r["foreign"] is None:
+            out[r["class"]] = LONE * min(r["least"], 0.9 if r["class"] else 1.0)
+        else:
+            out[r["class"]] = min(x for x in (r["foreign"], SLACK * r["whole"] if r["whole"] else None, r["part"]) if x is not None)
+    return out
 
 
 def spherical(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -193,7 +231,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that aren't rejected."""
+    """Keep the documents that aren't rejected. Null, blank and letterless texts are rejected; without labels, so is every text."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     names = docs.columns
 
