@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,11 @@ from .decontaminate import SPACED
 from .near_dedup import MUL, Hashes, mixed
 
 U = np.uint64
-#: Document frequencies are counted for 2 ** BITS hashed terms, so that the lexicon has a fixed size; terms that share a slot share a frequency.
-BITS = 22
+#: The lexicon is a bitmap of hashed terms with SPACE bits or more for each of its terms, so that a term that isn't in it
+#: passes with probability 1 / SPACE at most; up to 2 ** MAX_BITS bits (128 MB, enough for 67 million terms).
+SPACE, MIN_BITS, MAX_BITS = 16, 16, 30
+#: Distinct terms that a task counts before it passes them on, and bits of the bitmap that a row holds.
+FLUSH, BLOCK_BITS = 1_000_000, 16
 #: The band: terms in at least MIN_DOCS documents and in at most this share of all.
 MIN_DOCS, MAX_SHARE = 2, 0.1
 #: A subset of a level holds a term with probability 1 in 2 * DENSITY ** level (5 to 488), whatever the document.
@@ -33,14 +37,24 @@ def terms(text: str, seen: Hashes) -> np.ndarray:
     return np.sort(np.fromiter(map(seen.__getitem__, own), U, len(own)))
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - BITS)).astype(np.int64)
+@dataclass(frozen=True)
+class Lexicon:
+    """The terms within the band: a bitmap by the first bits of their hashes, and the terms above the band, which never pass."""
 
+    bitmap: np.ndarray
+    bits: int
+    common: np.ndarray
 
-def fingerprint(text: str, kept: np.ndarray, seen: Hashes) -> tuple[int, np.ndarray]:
+    def kept(self, h: np.ndarray) -> np.ndarray:
+        """Those of sorted hashes that are in the lexicon."""
+        slot = h >> U(64 - self.bits)
+        h = h[(self.bitmap[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1]
+        return h[~np.isin(h, self.common)] if len(self.common) else h
+
+
+def fingerprint(text: str, lexicon: Lexicon, seen: Hashes) -> tuple[int, np.ndarray]:
     """Hash of all kept terms, and of those in each lexicon subset (0: none). Without a kept term, the hash of the text itself."""
-    h = terms(text, seen)
-    h = h[kept[slots(h)]]
+    h = lexicon.kept(terms(text, seen))
     if not len(h):
         return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), 9), np.zeros(len(SEEDS), np.uint32)
     drawn = mixed(h[:, None] ^ SEEDS)
@@ -66,28 +80,65 @@ def printed(f: tuple[int, np.ndarray]) -> str:
     return f"{f[0]:016x}:{f[1].astype('>u4').view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex()}"
 
 
-def lexicon(docs: DataFrame) -> np.ndarray:
-    """For each slot whether its document frequency, counted over all documents, is within the band."""
+def frequencies(docs: DataFrame) -> DataFrame:
+    """term (hash), n: the document frequency of every term in MIN_DOCS documents or more, counted over all documents."""
 
     def run(batches):
-        seen, n = Hashes(), np.zeros(1 << BITS, np.int32)
+        seen, found, total = Hashes(), [], 0
+        done = np.zeros(0, U), np.zeros(0, np.int32)
+
+        def merged():
+            own, of = np.unique(np.concatenate([done[0], *found]), return_inverse=True)
+            weights = np.concatenate([done[1], np.ones(total, np.int32)])
+            found.clear()
+            return own, np.bincount(of, weights, len(own)).astype(np.int32)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(done[0].view(np.int64)), pa.array(done[1])], ["term", "n"])
+
         for batch in batches:
             for part in common.slices(batch):
                 for text in part.column(0).to_pylist():
                     if text:
-                        n[np.unique(slots(terms(text, seen)))] += 1
-        at = np.flatnonzero(n)
-        for k in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(n[at[k : k + (1 << 16)]])], ["slot", "n"])
-
-    counts = common.mapped(docs.select("text"), run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
+                        found.append(terms(text, seen))
+                        total += len(found[-1])
+                        if total > FLUSH:
+                            done, total = merged(), 0
+                            if len(done[0]) > FLUSH:
+                                yield out()
+                                done = np.zeros(0, U), np.zeros(0, np.int32)
+        done = merged()
+        yield out()
+
+    counts = common.mapped(docs.select("text"), run, "term long, n int").groupBy("term").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("n") >= MIN_DOCS)
+
+
+def lexicon(docs: DataFrame) -> Lexicon:
+    """The terms in MIN_DOCS documents or more and in a MAX_SHARE of all at most, by exact counts; the bitmap grows with their number."""
     most = max(MIN_DOCS, int(MAX_SHARE * docs.count()))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)))
-    words = counts.filter(F.col("n").between(MIN_DOCS, most)).groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits"))
-    packed = np.zeros((1 << BITS) // 64, np.int64)
-    found = words.toArrow()
-    packed[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
+    counts = common.cut(frequencies(docs), "terms")
+    inside = counts.filter(F.col("n") <= most)
+    bits = min(MAX_BITS, max(MIN_BITS, (SPACE * inside.count() - 1).bit_length()))
+
+    def packed(group):
+        block = np.zeros(1 << BLOCK_BITS, np.uint8)
+        block[group["slot"].to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
+        return type(group)({"block": group["block"].iloc[:1], "bits": [np.packbits(block, bitorder="little").tobytes()]})
+
+    common.share_code(docs.sparkSession)
+    slot = F.shiftrightunsigned("term", 64 - bits).alias("slot")
+    # a group has 2 ** BLOCK_BITS different slots at most
+    rows = inside.select(slot).distinct().select("slot", F.shiftright("slot", BLOCK_BITS).alias("block"))
+    found = rows.groupBy("block").applyInPandas(packed, "block long, bits binary").toArrow()
+    size = 1 << BLOCK_BITS >> 3
+    bitmap = np.zeros((1 << bits) >> 3, np.uint8)
+    for block, part in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
+        bitmap[block * size : (block + 1) * size] = np.frombuffer(part.as_buffer(), np.uint8)
+    # terms above the band: their shares add up to a document's mean number of terms, so there are 1 / MAX_SHARE times that at most
+    above = np.sort(counts.filter(F.col("n") > most).select("term").toArrow().column("term").to_numpy().view(U))
+    common.drop(counts)
+    return Lexicon(bitmap, bits, above)
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -109,16 +160,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """The query's columns for every row of docs.
 
     A null text is empty. A text without a term in the band, so an empty one too, has its own hash for a fingerprint and is
-    like equal texts only. Rows that share a doc_id follow each other in order of text; a null doc_id comes last. The only
+    like equal texts only. A term outside the band passes for one within with probability 1 / SPACE at most (more beyond 67
+    million terms), the same for all documents. Rows that share a doc_id follow each other in order of text; a null doc_id comes last. The only
     document follows itself. Other columns of docs are ignored. Texts are read whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(lexicon(docs)))
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches):
-        seen, kept, last = Hashes(), np.unpackbits(sent.value).astype(bool), None
+        seen, kept, last = Hashes(), sent.value, None
         for batch in batches:
             for part in common.slices(batch):
                 out = {n: [] for n in names}
