@@ -49,7 +49,9 @@ class Lexicon:
         """Those of sorted hashes that are in the lexicon."""
         slot = h >> U(64 - self.bits)
         h = h[(self.bitmap[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1]
-        return h[~np.isin(h, self.common)] if len(self.common) else h
+        if not len(self.common):
+            return h
+        return h[self.common[np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)] != h]
 
 
 def fingerprint(text: str, lexicon: Lexicon, seen: Hashes) -> tuple[int, np.ndarray]:
@@ -57,11 +59,15 @@ def fingerprint(text: str, lexicon: Lexicon, seen: Hashes) -> tuple[int, np.ndar
     h = lexicon.kept(terms(text, seen))
     if not len(h):
         return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), 9), np.zeros(len(SEEDS), np.uint32)
-    drawn = mixed(h[:, None] ^ SEEDS)
-    inside = drawn < LEAST
-    # the sum of the hashes of sorted distinct terms is the same as a hash of their list
-    part = mixed(np.where(inside, mixed(drawn + MUL[1]), U(0)).sum(axis=0, dtype=U)) >> U(40)
-    return int(mixed(mixed(h + MUL[2]).sum(keepdims=True, dtype=U))[0]), np.where(inside.any(axis=0), np.maximum(part, U(1)), U(0)).astype(np.uint32)
+    drawn = mixed(h ^ SEEDS[:, None])
+    inside = np.flatnonzero(drawn < LEAST[:, None])
+    n = np.bincount(inside // len(h), minlength=len(SEEDS))
+    some, sums = np.flatnonzero(n), np.zeros(len(SEEDS), U)
+    if len(some):
+        # the sum of the hashes of sorted distinct terms is the same as a hash of their list
+        sums[some] = np.add.reduceat(mixed(drawn.ravel()[inside] + MUL[1]), (np.cumsum(n) - n)[some])
+    part = mixed(sums) >> U(40)
+    return int(mixed(mixed(h + MUL[2]).sum(keepdims=True, dtype=U))[0]), np.where(n > 0, np.maximum(part, U(1)), U(0)).astype(np.uint32)
 
 
 def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
