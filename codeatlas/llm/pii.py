@@ -1,7 +1,8 @@
 """Personal data in texts: exact base patterns, and further spans proposed by loose generators and chosen by boosted trees.
 
-Everything that touches the documents is a DataFrame expression. The trees are fitted on the driver, on examples that
-`examples` writes from templates (the corpus has no labels for personal data).
+Everything that touches the documents is a DataFrame expression. The trees are fitted on the driver, on candidates of a
+bounded sample of the documents that the base patterns and checksums label, and on examples that `examples` writes from
+templates (the corpus has no labels for personal data); thresholds are calibrated on templates and documents left out.
 """
 
 from __future__ import annotations
@@ -29,19 +30,25 @@ BASE = {
 }
 #: Loose generators, by the kind that their spans get; their spans may overlap each other and the base spans.
 LOOSE = {
-    "email": ("@", r"[^\s@]{1,64}+@[^\s@]{3,}+"),
+    "email": ("@", r"(?<![^\s@])[^\s@]++@[^\s@]{3,}+"),
+    "ip": (r"[0-9][ ()\[\].:]{1,3}[0-9]|[0-9a-fA-F]:[0-9a-fA-F]", r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "card": (r"[0-9](?:[ ./-]{0,2}[0-9]){11}", r"(?<![0-9])[0-9](?:[ ./-]{0,2}[0-9]){11,18}(?![0-9])"),
     "phone": (r"[0-9][0-9 ().-]{5,}[0-9]", r"(?<![0-9])[0-9][0-9 ().-]{5,}[0-9]"),
-    "secret": (r"[A-Za-z0-9_+/=-]{20}", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+"),
+    "secret": (r"[A-Za-z0-9_+/-]{20}", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}+"),
 }
 CUES = {
     "cue_secret": r"(?i)(token|secret|passw|api.?key|auth|bearer|credential)[^\n]{0,8}$",
     "cue_phone": r"(?i)(tel|phone|call|fax|mobil|cell|handy|móvil|llame)[^\n]{0,6}$",
-    "cue_reference": r"(?i)(order|invoice|ref|isbn|version|http|page|item|[/#])[^\n]{0,4}$",
+    "cue_reference": r"(?i)(order|invoice|ref|isbn|version|http|page|item|\bid|[/#])[^\n]{0,4}$",
+    "cue_card": r"(?i)(card|visa|master|amex|credit|karte|carte|tarjeta)[^\n]{0,8}$",
+    "cue_host": r"(?i)(\bip|host|server|addr|peer|client|node)[^\n]{0,8}$",
     "assigned": r"[=:]\s?[\"']?$",
 }
-FEATURES = ("kind", "digits", "letters", "upper", "length", "groups", "hex", "domain", "dated", "ends", *CUES)
+FEATURES = ("kind", "digits", "letters", "upper", "length", "groups", "longest", "hex", "domain", "dated", "ends", "checksum", *CUES)
 LEFT, RIGHT = 24, 8
 TREES, RATE, PRECISION = 24, 0.3, 0.99
+#: Documents whose candidates are labelled by patterns and checksums, and such candidates, at most; parts left out in turn.
+SAMPLE, MAX_WEAK, FOLDS = 2_000, 1_500, 4
 
 
 def matches(text: Column, test: str, pattern: str) -> Column:
@@ -100,9 +107,18 @@ def features(kind: str, x: Column) -> Column:
     """The struct of a candidate: its place, and FEATURES as doubles from its format and its context."""
     hit, left = x["hit"], x["left"]
     count = lambda p: F.length(F.regexp_replace(hit, p, ""))
+    groups = F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))
+    n = count("[^0-9]")
+    if kind == "card":
+        checksum = F.when(n.between(12, 19), luhn(digits(hit))).otherwise(False)
+    elif kind == "ip":  # four parts of at most 255, or groups of hexadecimal digits that aren't all pairs
+        colons = hit.contains(":")
+        checksum = F.when(colons, ~hit.rlike("^(?:[0-9A-Fa-f]{1,2}:)+[0-9A-Fa-f]{1,2}$")).otherwise(F.forall(groups, lambda g: (F.length(g) < 3) | (g <= "255")))
+    else:
+        checksum = n.between(9, 15) if kind == "phone" else F.lit(True)
     values = {
-        "kind": F.lit(KINDS.index(kind)), "digits": count("[^0-9]"), "letters": count("[^A-Za-z]"), "upper": count("[^A-Z]"), "length": F.length(hit),
-        "groups": F.size(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))), "hex": hit.rlike("^[0-9a-fA-F]+$").cast("int"),
+        "kind": F.lit(KINDS.index(kind)), "digits": n, "letters": count("[^A-Za-z]"), "upper": count("[^A-Z]"), "length": F.length(hit),
+        "groups": F.size(groups), "longest": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "checksum": checksum.cast("int"), "hex": hit.rlike("^[0-9a-fA-F]+$").cast("int"),
         "domain": hit.rlike(r"@[^@.]+(\.[^@.]+)*\.\p{L}{2,}[.,;:!?]?$").cast("int"), "dated": hit.rlike("^(19|20)[0-9]{2}[-./ ]|[-./ ](19|20)[0-9]{2}$").cast("int"),
         "ends": x["right"].rlike(r"^([\"'\s.,;)]|$)").cast("int"),
     } | {k: left.rlike(p).cast("int") for k, p in CUES.items()}
@@ -113,19 +129,38 @@ def candidates(text: Column) -> Column:
     return F.concat(*(F.transform(matches(text, *LOOSE[k]), of(features, k)) for k in LOOSE))
 
 
-def examples(n: int = 1500, seed: int = 6) -> list[tuple[int, str, int]]:
-    """(number, text, 1 if its candidates are personal data or secrets), written from templates with a seeded generator."""
+def examples(n: int = 1800, seed: int = 6) -> list[tuple[int, int, str, int]]:
+    """(number, template, text, kind of its personal data; -1: none), written from templates with a seeded generator."""
     r = random.Random(seed)
     text = lambda a, k: "".join(r.choice(a) for _ in range(k))
     number = lambda k: text("0123456789", k)
     word = lambda k: text("etaoinshrdlu", k)
+    octet = lambda: str(r.randint(0, 255))
     mixed = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    hexes = "0123456789abcdef"
+
+    def card(good: bool) -> list[str]:
+        own = "4" + number(14)
+        total = sum(d if i % 2 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(own))))
+        own += str((-total + (0 if good else r.randint(1, 9))) % 10)
+        return [own[i : i + 4] for i in (0, 4, 8, 12)]
+
     yes = [
-        lambda: f'{r.choice(("token", "api_key", "secret", "password", "auth"))} {r.choice("=:")} "{text("0123456789abcdef", r.randint(24, 64))}"',
+        lambda: f'{r.choice(("token", "api_key", "secret", "password", "auth"))} {r.choice("=:")} "{text(hexes, r.randint(24, 64))}"',
         lambda: f"{r.choice(('Bearer', 'api key:', 'credential ='))} {text(mixed, r.randint(24, 60))} ",
+        lambda: f"{r.choice(('passwd', 'client_secret', 'access_token'))}={text(mixed, r.randint(22, 44))}",
         lambda: f"{r.choice(('tel', 'Tel.', 'phone:', 'call', 'fax', 'Handy'))} 0{number(2)}{r.choice(' -')}{number(4)}{r.choice(' -')}{number(4)} {word(5)}",
         lambda: f"{r.choice(('phone', 'mobile', 'cell:'))} ({number(3)}) {number(3)}-{number(4)}.",
+        lambda: f"{r.choice(('mobile', 'call', 'Telefon', 'Fax:'))} 0{number(1)}.{number(2)}.{number(2)}.{number(2)}.{number(2)} {word(3)}",
         lambda: f"{word(4)} {word(3)}ü{word(3)}@{word(6)}ä{word(2)}.{r.choice(('de', 'org', 'com', 'fr'))} ",
+        lambda: f"{word(5)} {word(4)}.{word(5)}@{word(4)}ö{word(3)}.{word(3)}.{r.choice(('de', 'net', 'at'))}, {word(3)}",
+        lambda: f"{word(3)} <{word(2)}ñ{word(4)}@{word(7)}.{r.choice(('es', 'org', 'info'))} {word(2)}",
+        lambda: f"{r.choice(('host', 'server', 'ip', 'peer'))} {octet()}[.]{octet()}[.]{octet()}[.]{octet()} {word(4)}",
+        lambda: f"{r.choice(('address', 'client', 'IP:', 'node'))} {octet()}(.){octet()}(.){octet()}(.){octet()}",
+        lambda: f"{r.choice(('host', 'addr', 'server'))} {':'.join(text(hexes, r.choice((3, 4, 4, 4))) for _ in range(8))} {word(3)}",
+        lambda: f"{r.choice(('card', 'visa', 'credit card:', 'Karte'))} {'.'.join(card(True))} {word(4)}",
+        lambda: f"{r.choice(('Mastercard', 'carte', 'card no', 'amex'))} {'/'.join(card(True))},",
+        lambda: f"{r.choice(('card', 'tarjeta', 'Visa:'))} {'  '.join(card(True))} {word(2)}",
     ]
     no = [
         lambda: f"{word(5)} {r.choice((1, 2))}{number(3)}-{number(2)}-{number(2)} {number(2)} {word(4)}",
@@ -136,10 +171,37 @@ def examples(n: int = 1500, seed: int = 6) -> list[tuple[int, str, int]]:
         lambda: f"http://{word(6)}.com/{word(12)}/{word(9)}/{number(4)}/{word(5)} ",
         lambda: f"{word(5)} {word(4)}_{word(9)}_{word(8)}_{word(3)} {word(2)}",
         lambda: f"{word(3)} {word(5)}@{word(6)} {word(2)}",
-        lambda: f"{text('0123456789abcdef', 40)} {word(6)}",
+        lambda: f"{text(hexes, 40)} {word(6)}",
         lambda: f"see {word(4)}@@{word(3)} and {word(3)}@{word(3)}_{word(3)}",
+        lambda: f"{r.choice(('version', 'section', 'page', 'ref', ''))} {number(1)} . {number(1)} . {r.randint(256, 999)} . {number(1)} {word(3)}",
+        lambda: f"{r.choice(('at', 'mac', 'device', 'time'))} {':'.join(text(hexes, 2) for _ in range(6))} {word(3)}",
+        lambda: f"{r.choice(('item', 'order', 'ref', 'card', ''))} {r.choice('./').join(card(False))} {word(3)}",
+        lambda: f"{word(4)} {number(1)}.{'.'.join(number(3) for _ in range(4))} {word(5)}",
+        lambda: f"{r.choice(('ref', 'id', 'order'))} {'  '.join(number(4) for _ in range(4))} {word(3)}",
     ]
-    return [(i, " ".join((word(4), word(6), r.choice(yes if i % 3 == 0 else no)())), int(i % 3 == 0)) for i in range(n)]
+    out = []
+    for i in range(n):
+        k = r.randrange(len(yes if i % 2 else no))
+        kind = KINDS.index(("secret", "phone", "email", "ip", "card")[k // 3]) if i % 2 else -1
+        out.append((i, k if i % 2 else len(yes) + k, " ".join((word(4), word(6), (yes if i % 2 else no)[k]())), kind))
+    return out
+
+
+def weak(docs: DataFrame) -> DataFrame:
+    """i (a hash), fold, y, c: candidates of at most about SAMPLE hashed documents that patterns or checksums label, MAX_WEAK at most.
+
+    A candidate is personal data if a base span of its kind overlaps it; it is none if it fails its kind's checksum (of a
+    card, the parts of an address, the digits of a phone number). All others are left alone.
+    """
+    mark = F.pmod(F.xxhash64(F.lit(6), "doc_id", "text"), F.lit(1_000_000))
+    docs = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    few = docs.filter(mark < F.lit(1e6 * SAMPLE / max(1, docs.count()))).withColumn("i", F.xxhash64("doc_id", "text")).limit(2 * SAMPLE)
+    base = F.concat(*(F.transform(v, of(place, KINDS.index(k))) for k, v in base_spans(F.col("text")).items()))
+    rows = few.withColumn("base", base).withColumn("c", candidates(F.col("text"))).select("i", "base", F.explode("c").alias("c"))
+    held = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
+    y = F.when(held, 1).when(F.col("c.checksum") == 0, 0)
+    rows = rows.select("i", F.pmod("i", F.lit(FOLDS)).cast("int").alias("fold"), y.alias("y"), "c").filter("y is not null")
+    return rows.orderBy("i", "c.start", "c.kind").limit(MAX_WEAK)
 
 
 def boosted(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
@@ -148,27 +210,29 @@ def boosted(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
     score, trees = np.full(len(y), bias), []
     cuts = [(np.unique(c)[1:] + np.unique(c)[:-1]) / 2 for c in x.T]
     cuts = [c if len(c) <= 32 else np.quantile(c, np.linspace(0, 1, 32)) for c in cuts]
-
-    def leaf(rows, g, h):
-        return float(RATE * g[rows].sum() / (h[rows].sum() + 1.0))
+    bins = [np.searchsorted(c, v, "right") for c, v in zip(cuts, x.T, strict=True)]  # v < c[j] if and only if its bin is j or less
 
     def split(rows, g, h, depth):
-        best, total = (1e-6, None), (g[rows].sum() ** 2) / (h[rows].sum() + 1.0)
-        for f, points in enumerate(cuts if depth else []):
-            for c in points:
-                left = rows & (x[:, f] < c)
-                right = rows & ~(x[:, f] < c)
-                if left.any() and right.any():
-                    gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1.0) for s in (left, right)) - total
-                    best = max(best, (gain, (f, float(c), left, right)), key=lambda b: b[0])
+        """The split of the greatest gain (ties: the first feature, the least cut); a leaf if there is none."""
+        total = (g[rows].sum(), h[rows].sum())
+        worth = lambda a, b: a * a / (b + 1.0)
+        best = (1e-6, None)
+        for f, c in enumerate(cuts if depth else []):
+            if len(c):
+                left = [np.bincount(bins[f][rows], v, len(c) + 1).cumsum()[:-1] for v in (g[rows], h[rows], np.ones(len(rows)))]
+                gain = worth(left[0], left[1]) + worth(total[0] - left[0], total[1] - left[1]) - worth(*total)
+                gain[(left[2] == 0) | (left[2] == len(rows))] = -np.inf
+                if gain.max() > best[0] + 1e-12:
+                    best = (gain.max(), (f, int(gain.argmax())))
         if best[1] is None:
-            return leaf(rows, g, h)
-        f, c, left, right = best[1]
-        return (f, c, split(left, g, h, depth - 1), split(right, g, h, depth - 1))
+            return float(RATE * total[0] / (total[1] + 1.0))
+        f, j = best[1]
+        below = bins[f][rows] <= j
+        return (f, float(cuts[f][j]), split(rows[below], g, h, depth - 1), split(rows[~below], g, h, depth - 1))
 
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        trees.append(split(np.ones(len(y), bool), y - p, p * (1 - p), 2))
+        trees.append(split(np.arange(len(y)), y - p, p * (1 - p), 2))
         score = score + value(trees[-1], x)
     return bias, trees
 
@@ -188,21 +252,32 @@ def expression(tree, x: Column) -> Column:
 
 
 class Model:
-    """Boosted trees, and for each kind the least score at which held-out examples are right in PRECISION of cases."""
-
-    def __init__(self, spark: SparkSession):
-        rows = spark.createDataFrame(examples(), "i int, text string, y int")
-        got = rows.select("i", "y", F.explode(candidates(F.col("text"))).alias("c")).select("i", "y", "c.*").collect()
-        got.sort(key=lambda r: (r["i"], r["start"], r["kind"]))
-        x, y = np.array([[r[f] for f in FEATURES] for r in got]), np.array([r["y"] for r in got], float)
-        test = np.array([r["i"] % 5 == 0 for r in got])
-        self.bias, self.trees = boosted(x[~test], y[~test])
-        score = self.bias + sum(value(t, x[test]) for t in self.trees)
+    """Boosted trees, and for each kind the least score at which examples left out are right in PRECISION of cases.
+
+    Each template, and each document of the sample, belongs to one of FOLDS parts; the scores that thresholds are read from
+    are those of trees fitted without its part.
+    """
+
+    def __init__(self, spark: SparkSession, docs: DataFrame | None = None):
+        rows = spark.createDataFrame([(i, k % FOLDS, text, kind) for i, k, text, kind in examples()], "i long, fold int, text string, of int")
+        rows = rows.select("i", "fold", "of", F.explode(candidates(F.col("text"))).alias("c"))
+        # what a template's personal data is to the generators of other kinds isn't said
+        rows = rows.filter("of < 0 or c.kind = of").withColumn("y", (F.col("of") >= 0).cast("int")).select("i", "fold", "y", "c")
+        if docs is not None:
+            rows = rows.unionByName(weak(docs).select("i", "fold", "y", "c"))
+        got = rows.select("i", "fold", "y", "c.*").collect()
+        got.sort(key=lambda r: (r["i"], r["start"], r["kind"], r["end"]))
+        x, y, fold = np.array([[r[f] for f in FEATURES] for r in got]), np.array([r["y"] for r in got], float), np.array([r["fold"] for r in got])
+        score = np.zeros(len(y))
+        for k in range(FOLDS):
+            bias, trees = boosted(x[fold != k], y[fold != k])
+            score[fold == k] = bias + sum(value(t, x[fold == k]) for t in trees)
         self.least = {}
         for k in LOOSE:
-            own = x[test][:, 0] == KINDS.index(k)
-            fits = [c for c in np.unique(score[own]) if y[test][own][score[own] >= c].mean() >= PRECISION]
+            own = x[:, 0] == KINDS.index(k)
+            fits = [c for c in np.unique(score[own]) if y[own][score[own] >= c].mean() >= PRECISION]
             self.least[k] = max(0.0, float(min(fits))) if fits else float("inf")
+        self.bias, self.trees = boosted(x, y)
 
     def score(self, x: Column) -> Column:
         return reduce(lambda a, t: a + expression(t, x), self.trees, F.lit(self.bias))
@@ -227,7 +302,7 @@ def find(docs: DataFrame, model: Model | None = None, names: tuple[str, str] = (
     overlap, the longer stays (the better scored if equal, else the earlier). A null or empty text has none. Whole texts of any length are
     searched. Rows aren't compared: repeated ones get equal spans. Columns of docs that have these names are replaced.
     """
-    model = model or Model(docs.sparkSession)
+    model = model or Model(docs.sparkSession, docs)
     text = F.coalesce("text", F.lit(""))
     base = F.array_sort(F.concat(*(F.transform(v, of(place, KINDS.index(k))) for k, v in base_spans(text).items())))
     scored = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), model.score(x).alias("score"))

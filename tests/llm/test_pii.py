@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeatlas.llm import common, pii
 
@@ -43,7 +46,8 @@ def test_base_spans_equal_the_plain_patterns(spark):
 
 @pytest.mark.parametrize(
     ("text", "kind"),
-    [('set token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" now', "secret"), ("Tel. 030 1234-5678 bitte", "phone"), ("schreib an jürgen@beispiel.de ", "email"), ("a plain sentence without any of it", None), ("order 20240131 55512 arrived", None), ("see sometimes_very_long_identifier_names here", None)],
+    [('set token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" now', "secret"), ("Tel. 030 1234-5678 bitte", "phone"), ("schreib an jürgen@beispiel.de ", "email"), ("a plain sentence without any of it", None), ("order 20240131 55512 arrived", None), ("see sometimes_very_long_identifier_names here", None),
+     ("the server 10[.]0[.]12[.]250 answers", "ip"), ("card 4111.1111.1111.1111 was used", "card"), ("card 4111.1111.1111.1112 was used", None), ("version 1 . 2 . 300 . 4 is out", None)],
 )
 def test_added_spans(spark, text, kind):
     got = pii.find(documents(spark, [text])).first()["pii_spans"]
@@ -70,5 +74,66 @@ def test_synthetic_table(spark, sf_dir):
         assert sha == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in own).encode()).hexdigest()
 
 
+def test_trees_are_those_of_a_plain_search():
+    """Each split is the best of all by a search over every feature and cut; leaves and scores follow."""
+    r = np.random.default_rng(5)
+    x = np.round(r.random((60, 4)) * 6)
+    y = ((x[:, 0] > 3) ^ (x[:, 2] > 4) | (r.random(60) < 0.1)).astype(float)
+    bias, trees = pii.boosted(x, y)
+    score = [bias] * 60
+
+    def best(rows, g, h):
+        worth = lambda s: sum(g[i] for i in s) ** 2 / (sum(h[i] for i in s) + 1)
+        out = None
+        for f in range(4):
+            values = sorted({v for v in x[:, f]})
+            for c in [(a + b) / 2 for a, b in zip(values, values[1:])]:
+                left, right = [i for i in rows if x[i, f] < c], [i for i in rows if x[i, f] >= c]
+                if left and right and (out is None or worth(left) + worth(right) > out[0] + 1e-9):
+                    out = (worth(left) + worth(right), f, c)
+        return out
+
+    def walk(tree, rows, g, h, depth):
+        if isinstance(tree, float):
+            assert tree == pytest.approx(pii.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1))
+            for i in rows:
+                score[i] += tree
+            return
+        assert depth and best(rows, g, h)[1:] == (tree[0], pytest.approx(tree[1]))
+        walk(tree[2], [i for i in rows if x[i, tree[0]] < tree[1]], g, h, depth - 1)
+        walk(tree[3], [i for i in rows if x[i, tree[0]] >= tree[1]], g, h, depth - 1)
+
+    for tree in trees:
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        walk(tree, list(range(60)), [y[i] - p[i] for i in range(60)], [v * (1 - v) for v in p], 2)
+    assert np.allclose(score, bias + sum(pii.value(t, x) for t in trees))
+
+
+def test_expression_scores_as_the_trees_do(spark):
+    model = pii.Model(spark)
+    rows = spark.createDataFrame([(text,) for _, _, text, _ in pii.examples(60, 9)], "text string").select(F.explode(pii.candidates(F.col("text"))).alias("c"))
+    got = rows.select("c.*", model.score(F.col("c")).alias("score")).collect()
+    x = np.array([[r[f] for f in pii.FEATURES] for r in got])
+    assert np.allclose([r["score"] for r in got], model.bias + sum(pii.value(t, x) for t in model.trees)) and len(got) > 40
+
+
+def test_weak_labels(spark, sf_dir):
+    """Overlaps with base spans are personal data, failed checksums are none, and nothing else is labelled."""
+    text = "call +49 30 1234567 or 12-34-5 6, card 4111 1111 1111 1111 and 4111 1111 1111 1112, a@b.co, ü@ä.de, 300.1.2.3 and 10.1.2.3"
+    got = {(pii.KINDS[int(r["c"]["kind"])], r["c"]["start"]): r["y"] for r in pii.weak(documents(spark, [text, None])).collect()}
+    at = text.index
+    assert got[("card", at("4111 1111 1111 1111"))] == 1 and got[("card", at("4111 1111 1111 1112"))] == 0 and got[("email", at("a@b.co"))] == 1
+    assert got[("ip", at("300.1"))] == 0 and got[("ip", at("10.1.2.3"))] == 1 and ("email", at("ü@ä.de")) not in got
+    assert pii.weak(common.table(spark, sf_dir, "documents")).count() > 0
+
+
+def test_long_local_parts_and_repeated_rows(spark):
+    text = "ü" + "x" * 200 + "@beispiel.de "
+    df = documents(spark, [text, text])
+    spans = [[(x["start"], x["end"]) for x in r["pii_spans"]] for r in pii.find(df.union(df)).collect()]
+    assert len(spans) == 4 and spans[0] == spans[1] == spans[2] == spans[3]
+
+
 def test_empty_table(spark):
-    assert pii.find(documents(spark, ["x"]).limit(0)).count() == 0
+    empty = documents(spark, ["x"]).limit(0)
+    assert pii.find(empty).count() == 0 and pii.stage(spark, empty, "").count() == 0
