@@ -518,4 +518,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of `encode` for every document; null and empty texts have no ids."""
     return encode(docs)

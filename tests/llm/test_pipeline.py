@@ -31,6 +31,26 @@ def test_stages_one_after_the_other(spark, sf_dir):
     assert sorted(r["doc_id"] for r in last.collect()) == ids(kept) and last.filter("not round_trip").count() == 0
 
 
+def test_odd_repeated_and_no_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing column names, and an empty table, through all stages."""
+    from .helpers import ODD, documents
+
+    words = "the thing there other that with which were from".split()
+    texts = [" ".join(words[(i * k) % 9] for k in range(40)) + f" end{i}" for i in range(1, 13)]
+    df = documents(spark, [*texts, *ODD], extra=True)
+    df = df.union(df.limit(2)).union(df.limit(1).selectExpr("cast(null as long) as doc_id", *df.columns[1:]))
+    bench = spark.createDataFrame([(1, "a passage of the benchmark that no document holds at all")], "item_id long, text string")
+    for name, docs in (("some", df), ("none", df.limit(0))):
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, at).collect()
+        if name == "none":
+            assert got == []
+        else:
+            assert {r["doc_id"] for r in got} >= {3, 4} and all(r["round_trip"] for r in got) and None not in {r["doc_id"] for r in got}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
