@@ -20,6 +20,8 @@ __all__ = ["BROADCAST_ROWS", "by_batch", "by_ids", "cut", "drop", "mapped", "out
 
 #: A set of ids or hashes is broadcast up to this many rows (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of an Arrow batch that goes to a worker, where the session has Spark's own bound (64 MB).
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
 #: A join key with more rows than this is dealt over several tasks.
 HOT_ROWS = 1000
 
@@ -65,9 +67,16 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow that gives a task's memory back to the system when the task ends: workers live on between tasks."""
+    """mapInArrow that gives a task's memory back to the system when the task ends: workers live on between tasks.
+
+    A session that has Spark's own bound for the bytes of a batch gets a lower one, BATCH, from here on: batches of long texts
+    are held several times over, by the executor and by its workers.
+    """
 
     share_code(df.sparkSession)
+    setting, default, lower = BATCH
+    if df.sparkSession.conf.get(setting, None) == default:
+        df.sparkSession.conf.set(setting, lower)
 
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
