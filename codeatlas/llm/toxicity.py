@@ -92,31 +92,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
 def cumulative_logit(row, column, grade, n_terms, use) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of P(grade > k) = logistic(x.w - threshold k), by Adam on the penalised likelihood of the rows in use."""
-    n, w = len(grade), np.zeros(n_terms)
     present = [max(1e-3, (grade[use] > k).mean()) for k in range(GRADES - 1)]
     first = -np.log(present[0] / (1 - min(present[0], 0.999)))
-    free = np.concatenate(([first], np.log(np.full(GRADES - 2, 0.7))))  # first threshold, then logs of the gaps
-    state = np.zeros((2, n_terms + len(free)))
-    weight = use / max(1, use.sum())
-    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    free = np.concatenate(([first], np.log(np.full(GRADES - 2, 0.7))))
+    w, weight, state = np.zeros(n_terms), use / max(1, use.sum()), np.zeros((2, n_terms + len(free)))
     for step in range(1, STEPS + 1):
-        t = np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
-        s = np.bincount(row, w[column], minlength=n)
-        above = np.concatenate((np.ones((n, 1)), logistic(s[:, None] - t), np.zeros((n, 1))), axis=1)
-        slope = above * (1 - above)
-        k = np.arange(n)
-        p = np.maximum(above[k, grade] - above[k, grade + 1], 1e-9)
-        ds = -(slope[k, grade] - slope[k, grade + 1]) / p * weight
-        g_t = np.zeros((n, GRADES + 1))
-        g_t[k, grade] += slope[k, grade] / p * weight
-        g_t[k, grade + 1] -= slope[k, grade + 1] / p * weight
-        g_t = g_t[:, 1:-1].sum(axis=0)
-        g_free = np.cumsum(g_t[::-1])[::-1] * np.concatenate(([1.0], np.exp(free[1:])))
-        g = np.concatenate((np.bincount(column, ds[row], minlength=n_terms) + PENALTY * w / max(1, use.sum()) / 10, g_free))
+        g = np.concatenate(gradient(w, free, row, column, grade, weight))
         state = np.stack((0.9 * state[0] + 0.1 * g, 0.99 * state[1] + 0.01 * g * g))
         move = 0.05 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
         w, free = w - move[:n_terms], free - move[n_terms:]
-    return w, np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
+    return w, thresholds_of(free)
+
+
+def thresholds_of(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds of free numbers: the first one, then the logs of the gaps."""
+    return np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
+
+
+def gradient(w, free, row, column, grade, weight) -> tuple[np.ndarray, np.ndarray]:
+    """By the weights and by the free numbers, of - sum(weight * log P(grade)) + PENALTY / 20 / (rows in use) * w.w."""
+    n, k, t = len(grade), np.arange(len(grade)), thresholds_of(free)
+    s = np.bincount(row, w[column], minlength=n)
+    above = np.concatenate((np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(s[:, None] - t, -40, 40))), np.zeros((n, 1))), axis=1)
+    slope = above * (1 - above)
+    p = np.maximum(above[k, grade] - above[k, grade + 1], 1e-9)
+    ds = -(slope[k, grade] - slope[k, grade + 1]) / p * weight
+    g_t = np.zeros((n, GRADES + 1))
+    g_t[k, grade] += slope[k, grade] / p * weight
+    g_t[k, grade + 1] -= slope[k, grade + 1] / p * weight
+    g_t = g_t[:, 1:-1].sum(axis=0)
+    g_free = np.cumsum(g_t[::-1])[::-1] * np.concatenate(([1.0], np.exp(free[1:])))
+    return np.bincount(column, ds[row], minlength=len(w)) + PENALTY * w / max(1, (weight > 0).sum()) / 10, g_free
 
 
 def best_cut(score: np.ndarray, y: np.ndarray) -> float:
