@@ -14,6 +14,10 @@ CACHE = 300_000
 LONG = 64
 
 
+def n_bytes(c: str) -> int:
+    return len(c.encode("utf-8", "surrogatepass"))
+
+
 class Automaton:
     """Counts the pieces that greedy longest match cuts a word into, in one pass and without building them.
 
@@ -21,7 +25,7 @@ class Automaton:
     popped; pops holds how many those are. A character that no piece begins with stands alone and counts `lone(c)` tokens.
     """
 
-    def __init__(self, pieces: list[str], lone=lambda c: len(c.encode("utf-8", "surrogatepass"))):
+    def __init__(self, pieces: list[str], lone=n_bytes):
         self.lone = lone
         self.child: list[dict[str, int]] = [{}]
         ends = [False]
@@ -96,10 +100,10 @@ def count_tokens(docs: DataFrame, pieces: list[str] | None = None, model: str =
     length are counted whole. Repeated rows each get their row; other columns of docs are ignored.
     """
     pieces = pieces or [p for p, _, _ in Vocabulary(model).pieces]
-    sent = docs.sparkSession.sparkContext.broadcast(pieces)
+    sent = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))  # as large as the vocabulary
 
     def make():
-        counts = Counts(Automaton(sent.value))
+        counts = Counts(sent.value)
 
         def run(x):
             out = {"doc_id": x["doc_id"], "n_words": [], "n_tokens": [], "max_word_tokens": []}
