@@ -28,13 +28,18 @@ def spans(text):
     return [(name, s, e) for s, _, name, e in sorted(found)]
 
 
-def test_base_spans_equal_the_plain_patterns(spark):
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.Model(spark)
+
+
+def test_base_spans_equal_the_plain_patterns(spark, model):
     r = random.Random(4)
     parts = ["a@b.co", "x.y+z@mail-1.example.com_c@d.ef", "a@b", "@", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.002.03.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "411111111111111", "+1 (555) 010-9999", "+1.2", "+", "++49 30 1234567",
              "12 34 56 78 90 12", "é", "\U0001f600", "word", "(0) 1", ".", "-", "_", "%", "0" * 13, "\n", "  "]
     texts = ["".join(r.choice(parts) + r.choice(("", " ", ".")) for _ in range(r.randint(1, 14))) for _ in range(300)] + ODD
     texts += ["1 " * 20_000, "a" * 30_000 + "@", "+1" + "(" * 30_000, "1.2.3." * 5_000, "a@b.c " * 3_000]
-    got = by_id(pii.find(documents(spark, texts, extra=True)), "pii_base", "pii_spans")
+    got = by_id(pii.find(documents(spark, texts, extra=True), model), "pii_base", "pii_spans")
     for i, t in enumerate(texts):
         base = [(pii.KINDS[x["kind"]], x["start"], x["end"]) for x in got[i + 1][0]]
         assert base == spans(t), t
@@ -49,8 +54,8 @@ def test_base_spans_equal_the_plain_patterns(spark):
     [('set token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" now', "secret"), ("Tel. 030 1234-5678 bitte", "phone"), ("schreib an jürgen@beispiel.de ", "email"), ("a plain sentence without any of it", None), ("order 20240131 55512 arrived", None), ("see sometimes_very_long_identifier_names here", None),
      ("the server 10[.]0[.]12[.]250 answers", "ip"), ("card 4111.1111.1111.1111 was used", "card"), ("card 4111.1111.1111.1112 was used", None), ("version 1 . 2 . 300 . 4 is out", None)],
 )
-def test_added_spans(spark, text, kind):
-    got = pii.find(documents(spark, [text])).first()["pii_spans"]
+def test_added_spans(spark, model, text, kind):
+    got = pii.find(documents(spark, [text]), model).first()["pii_spans"]
     assert [pii.KINDS[x["kind"]] for x in got] == ([kind] if kind else [])
 
 
@@ -109,8 +114,7 @@ def test_trees_are_those_of_a_plain_search():
     assert np.allclose(score, bias + sum(pii.value(t, x) for t in trees))
 
 
-def test_expression_scores_as_the_trees_do(spark):
-    model = pii.Model(spark)
+def test_expression_scores_as_the_trees_do(spark, model):
     rows = spark.createDataFrame([(text,) for _, _, text, _ in pii.examples(60, 9)], "text string").select(F.explode(pii.candidates(F.col("text"))).alias("c"))
     got = rows.select("c.*", model.score(F.col("c")).alias("score")).collect()
     x = np.array([[r[f] for f in pii.FEATURES] for r in got])
@@ -127,10 +131,10 @@ def test_weak_labels(spark, sf_dir):
     assert pii.weak(common.table(spark, sf_dir, "documents")).count() > 0
 
 
-def test_long_local_parts_and_repeated_rows(spark):
+def test_long_local_parts_and_repeated_rows(spark, model):
     text = "ü" + "x" * 200 + "@beispiel.de "
     df = documents(spark, [text, text])
-    spans = [[(x["start"], x["end"]) for x in r["pii_spans"]] for r in pii.find(df.union(df)).collect()]
+    spans = [[(x["start"], x["end"]) for x in r["pii_spans"]] for r in pii.find(df.union(df), model).collect()]
     assert len(spans) == 4 and spans[0] == spans[1] == spans[2] == spans[3]
 
 
